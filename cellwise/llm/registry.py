@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import exact_dedup
+from cellwise.llm import exact_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_simhash": simhash.op5_simhash,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
