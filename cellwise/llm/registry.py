@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import exact_dedup, simhash
+from cellwise.llm import exact_dedup, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash": simhash.op5_simhash,
+        "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc": warc.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
     }
