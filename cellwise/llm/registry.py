@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import exact_dedup, simhash, warc
+from cellwise.llm import exact_dedup, pii, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii": pii.op3_pii,
         "op5_simhash": simhash.op5_simhash,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
