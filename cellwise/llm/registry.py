@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import exact_dedup, langid, pii, simhash, warc
+from cellwise.llm import exact_dedup, langid, pii, sentencepiece, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
         "op3_pii": pii.op3_pii,
+        "op4_sentencepiece": sentencepiece.op4_sentencepiece,
         "op5_simhash": simhash.op5_simhash,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
