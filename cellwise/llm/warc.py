@@ -8,6 +8,7 @@ payload out; which rows revisit is settled on digests, so only digests are group
 
 Reading. Files are cut at the magic ``WARC/1.0`` and not at record ends, by the
 text reader with the magic as separator, so a file of any size is read in splits.
+(The archives aren't compressed: a compressed file can't be split.)
 A magic inside a payload therefore makes a false candidate. The pieces tile a
 file: a piece's offset is the sum of the lengths before it, from sums within a
 split and sums over splits. From its own ``Content-Length`` each candidate gives
@@ -29,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +40,8 @@ MAGIC, CRLF = "WARC/1.0\r\n", "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Payloads below this size are never revisited.
 LEAST_BYTES = 1000
+#: Tables of this many rows at most are broadcast, once counted.
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -64,7 +66,7 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         .filter("n > 1")
         .select("digest", "bytes", "first_id")
     )
-    joined = rows.join(shared, ["digest", "bytes"], "left")
+    joined = rows.join(_bounded(materialize(shared, "digests")), ["digest", "bytes"], "left")
     revisit = F.coalesce(F.col("page_id") < F.col("first_id"), F.lit(False))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
@@ -94,49 +96,54 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
     return path
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``file, start, piece``: what follows each magic, and the offset of that magic in its file.
-
-    What stands before the first magic of a file has offset ``-1``, and a file
-    that doesn't begin with the magic has no record at offset 0.
-    """
-    raw = (
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``file, split, value``: what follows each magic, in the order of the split."""
+    return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
-            F.col("value").cast("binary").alias("piece"),
+            F.col("value"),
+            F.octet_length("value").alias("bytes"),
         )
     )
 
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Adds ``within``, the offset in the split, to rows of ``_pieces``; a task reads a split in order."""
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the offset within the split; a task reads the pieces of a split in order."""
         at: tuple | None = None
         total = 0
         for batch in batches:
-            sizes = pc.binary_length(batch.column(2)).to_pylist()
             starts = []
-            for file, split, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("file", "split", "bytes")]
+            for file, split, n in zip(*columns, strict=True):
                 if (file, split) != at:
                     at, total = (file, split), 0
                 starts.append(total)
                 total += n + len(MAGIC)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(starts, pa.int64())], ["file", "split", "piece", "within"]
+                [*batch.columns, pa.array(starts, pa.int64())], [*batch.schema.names, "within"]
             )
 
-    placed = raw.mapInArrow(place, "file string, split bigint, piece binary, within bigint")
-    placed = materialize(placed, "pieces")
-    ends = placed.groupBy("file", "split").agg(
-        F.max(F.col("within") + F.octet_length("piece") + len(MAGIC)).alias("size")
-    )
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(place, f"{kinds}, within bigint")
+
+
+def _bases(placed: DataFrame) -> DataFrame:
+    """``file, split, base``: the offset in its file at which the pieces of a split begin."""
+    ends = placed.groupBy("file", "split").agg(F.max(F.col("within") + F.col("bytes") + len(MAGIC)).alias("size"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ends.select("file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     # The first piece of a file ends where the first magic begins, so the piece itself starts one magic earlier.
-    return placed.join(bases, ["file", "split"]).select(
-        "file", (F.col("base") + F.col("within") - len(MAGIC)).alias("start"), "piece"
-    )
+    base = F.coalesce(F.sum("size").over(before), F.lit(0)) - len(MAGIC)
+    return ends.select("file", "split", base.alias("base"))
+
+
+def _bounded(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint if it has no more than ``most`` rows; a shuffle joins it otherwise."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
 def _field(head: Column, name: str) -> Column:
@@ -144,26 +151,31 @@ def _field(head: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """``file, start, head, next``: each candidate record and where its successor would start."""
-    at = F.instr(F.decode("piece", "ISO-8859-1"), CRLF + CRLF)
-    head = F.expr("substring(piece, 1, cut + 1)").cast("string")
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The pieces of all files without their payloads, and where each split begins.
+
+    ``file, start, bytes, head, head_bytes, length, next``: a piece without a header
+    that gives its length is no candidate and has a null ``next``.
+    """
+    head = F.substring_index("value", CRLF + CRLF, 1)
+    # Only a piece whose header ends within it has one.
+    narrow = _pieces(spark, path).select(
+        "file", "split", "bytes", F.when(F.octet_length(head) < F.col("bytes"), head).alias("head")
+    )
+    placed = materialize(_within(narrow), "pieces")
+    bases = materialize(_bases(placed), "splits")
     length = F.regexp_extract(F.col("head"), r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    return (
-        found.withColumn("cut", at)
-        .filter("cut > 0 AND start >= 0")
-        .withColumn("head", head)
-        .withColumn("length", F.when(length != "", length.cast("bigint")))
-        .filter("length IS NOT NULL")
-        .select(
-            "file",
-            "start",
-            "head",
-            (F.col("cut") + 3).alias("head_bytes"),
-            (F.col("start") + len(MAGIC) + F.col("cut") + 3 + F.col("length") + 4).alias("next"),
-            "length",
-        )
+    rows = placed.join(_bounded(bases), ["file", "split"]).select(
+        "file",
+        (F.col("base") + F.col("within")).alias("start"),
+        "bytes",
+        "head",
+        (F.octet_length("head") + 4).alias("head_bytes"),
+        F.when(length != "", length.cast("bigint")).alias("length"),
     )
+    following = F.col("start") + len(MAGIC) + F.col("head_bytes") + F.col("length") + 4
+    rows = rows.withColumn("next", F.when(F.col("start") >= 0, following))
+    return materialize(rows, "candidates"), bases
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -197,45 +209,59 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, record_type, refers_to, target_uri, payload_digest, block`` of each verified record.
 
     ``block`` is binary; for responses it holds the HTTP header and the payload.
+    Offsets are settled on headers alone. Payloads are then read once more and pass
+    straight through where a piece is a whole record that is reached, as nearly all
+    are; only the other pieces are looked up, and only those of torn records move.
     """
-    found = materialize(pieces(spark, path), "placed")
-    edges = materialize(candidates(found), "candidates")
-    kept = edges.join(reachable(edges), ["file", "start"], "left_semi")
-    # A record's first piece is its candidate's. Only a record that is longer than that piece takes more.
-    whole = found.join(kept, ["file", "start"])
-    need = F.col("head_bytes") + F.col("length") - F.octet_length("piece")
-    full = whole.filter(need <= 0).select("head", "head_bytes", "length", "piece")
-    torn = whole.filter(need > 0).select("file", "start", "next", "head", "head_bytes", "length")
-    # Pieces are assigned to torn records by file and 1 MiB cells of the offsets that a record spans.
-    cells = torn.withColumn("cell", F.explode(F.sequence(F.shiftright("start", 20), F.shiftright("next", 20))))
-    inside = found.select(F.col("file"), F.shiftright("start", 20).alias("cell"), F.col("start").alias("at"), "piece")
-    parts = cells.join(inside, ["file", "cell"]).filter("at >= start AND at < next")
+    found, bases = candidates(spark, path)
+    edges = found.filter("next IS NOT NULL")
+    reached = edges.join(reachable(edges), ["file", "start"], "left_semi")
+    whole = (F.col("head_bytes") + F.col("length") <= F.col("bytes")).alias("whole")
+    seen = found.join(reached.select("file", "start", whole), ["file", "start"], "left")
+    odd = materialize(seen.filter("whole IS NULL OR NOT whole").select("file", "start"), "odd")
+    torn = reached.filter("head_bytes + length > bytes").select("file", "start", "next", "head", "head_bytes", "length")
+    torn = materialize(torn, "torn")
+
+    placed = _within(_pieces(spark, path)).join(_bounded(bases), ["file", "split"])
+    placed = placed.select("file", (F.col("base") + F.col("within")).alias("start"), "value")
+    head = F.substring_index("value", CRLF + CRLF, 1)
+    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1).cast("bigint")
+    full = placed.join(_bounded(odd), ["file", "start"], "left_anti").select(
+        head.alias("head"), _cut(F.col("value").cast("binary"), F.octet_length(head) + 4, length).alias("block")
+    )
+    # A torn record takes the pieces in its range; both sides are dealt by file and 1 MiB cell.
+    cell = lambda c: F.shiftright(c, 20)
+    cells = torn.withColumn("cell", F.explode(F.sequence(cell("start"), cell("next"))))
+    parts = placed.join(_bounded(odd), ["file", "start"], "left_semi").select(
+        F.col("file"), cell("start").alias("cell"), F.col("start").alias("at"), F.col("value").cast("binary").alias("piece")
+    )
+    parts = cells.join(parts, ["file", "cell"]).filter("at >= start AND at < next")
+    magic = MAGIC.encode().hex().upper()
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"])
     mended = (
         parts.groupBy("file", "start", "head", "head_bytes", "length")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("parts"))
-        .select(
-            "head",
-            "head_bytes",
-            "length",
-            F.expr("aggregate(slice(parts, 2, size(parts)), parts[0].piece, "
-                   f"(a, x) -> concat(a, cast('{'WARC/1.0'}\r\n' AS binary), x.piece))").alias("piece"),
-        )
-    )
-    head = F.col("head")
-    return full.unionByName(mended).select(
-        _field(head, "WARC-Record-ID").alias("record_id"),
-        _field(head, "WARC-Type").alias("record_type"),
-        _field(head, "WARC-Refers-To").alias("refers_to"),
-        _field(head, "WARC-Target-URI").alias("target_uri"),
-        _field(head, "WARC-Payload-Digest").alias("payload_digest"),
-        F.expr("substring(piece, head_bytes + 1, length)").alias("block"),
+        .agg(ordered.alias("parts"))
+        .select("head", _cut(F.unhex(F.array_join(F.transform("parts", F.hex), magic)), "head_bytes", "length"))
     )
+    return full.unionByName(mended.toDF("head", "block")).select(
+        _field(F.col("head"), "WARC-Record-ID").alias("record_id"),
+        _field(F.col("head"), "WARC-Type").alias("record_type"),
+        _field(F.col("head"), "WARC-Refers-To").alias("refers_to"),
+        _field(F.col("head"), "WARC-Target-URI").alias("target_uri"),
+        _field(F.col("head"), "WARC-Payload-Digest").alias("payload_digest"),
+        "block",
+    )
+
+
+def _cut(data: Column, start: Column | str, length: Column | str) -> Column:
+    start, length = (F.col(x) if isinstance(x, str) else x for x in (start, length))
+    return F.substring(data, (start + 1).cast("int"), length.cast("int"))
 
 
 def payload(block: Column) -> Column:
     """What follows the HTTP header of a block."""
-    cut = F.instr(F.decode(block, "ISO-8859-1"), CRLF + CRLF)
-    return F.substring(block, cut + 4, F.octet_length(block))
+    head = F.octet_length(F.substring_index(block.cast("string"), CRLF + CRLF, 1))
+    return _cut(block, head + 4, F.octet_length(block))
 
 
 def round_trip(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
