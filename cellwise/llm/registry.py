@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import exact_dedup, langid, packing, pii, sentencepiece, simhash, warc, wordpiece
+from cellwise.llm import decontam, exact_dedup, langid, packing, pii, sentencepiece, simhash, warc, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": sentencepiece.op4_sentencepiece,
         "op5_simhash": simhash.op5_simhash,
         "op6_token_counts": wordpiece.op6_token_counts,
+        "op7_decontamination": decontam.op7_decontamination,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_packing": packing.op10_packing,
