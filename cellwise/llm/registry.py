@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import decontam, exact_dedup, langid, packing, pii, sentencepiece, simhash, warc, wordpiece
+from cellwise.llm import decontam, exact_dedup, html_text, langid, packing, pii, sentencepiece, simhash, warc, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_html": html_text.op2_html,
         "op3_pii": pii.op3_pii,
         "op4_sentencepiece": sentencepiece.op4_sentencepiece,
         "op5_simhash": simhash.op5_simhash,
