@@ -44,7 +44,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Entries of the caches of a worker; a full cache is emptied.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 2_000_000
+CACHED_WORDS, CACHED_PAIRS = 800_000, 1_000_000
 #: Characters of text encoded before a batch is handed on.
 BATCH_CHARS = 4_000_000
 
@@ -164,38 +164,63 @@ class Encoder:
         scores = [model.scores[i] for i in known.values()]
         lowest = min(scores, default=0.0) - UNKNOWN_PENALTY
         self.score = [model.scores[i] if i >= 0 else lowest for i in self.id]
-        self.whole = [True] * len(self.text)
-        if model.kind == BPE:
-            self.whole = [self.id[t] < 0 or self._merged(p) == [p] for t, p in enumerate(self.text)]
+        self.steps = [self._steps(p) for p in self.text] if model.kind == BPE else []
         self.automaton = ahocorasick.Automaton()
         for t, p in enumerate(self.text):
-            if self.whole[t]:
+            # A piece that its own characters don't merge into is never a result.
+            if not self.steps or self.steps[t][1][-1] == p:
                 self.automaton.add_word(p, t)
         if self.text:
             self.automaton.make_automaton()
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        letters = "".join(re.escape(c) for c in sorted({*together, *known} - {SPACE}) if len(c) == 1)
-        tied = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in known)
-        own = f"[{letters}]+" if letters else "(?!)"
-        # Words of characters with a piece; a run of others is a unit of its own.
-        self.units = re.compile(
-            f"(?:{SPACE}|{own})+|[^{SPACE}{letters}]+" if tied else f"{SPACE}*{own}|{SPACE}+|[^{SPACE}{letters}]+"
-        )
-        self.inside = re.compile(f"^[{SPACE}{letters}]") if letters else re.compile(f"^{SPACE}")
-
-    def _merged(self, text: str) -> list[str]:
-        """Merges by rank, the leftmost of equals first."""
-        parts = list(text)
-        rank = self.rank
-        while len(parts) > 1:
-            ranks = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min((r for r in ranks if r is not None), default=None)
-            if best is None:
-                return parts
-            i = ranks.index(best)
+        self.inside = {c for c in together | {p for p in known if len(p) == 1}}
+        self.units = re.compile(self._units(known, self.inside - {SPACE}))
+
+    @staticmethod
+    def _units(known: dict[str, int], inner: set[str]) -> str:
+        """A pattern for the parts of a text that no piece crosses.
+
+        Parts end before white space, and between alphanumeric and other characters
+        unless a piece holds the two; characters of no piece are parts by themselves.
+        """
+
+        def chars(of: set[str]) -> str:
+            return "".join(re.escape(c) for c in sorted(of))
+
+        other = f"[^{SPACE}{chars(inner)}]+"
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in known):
+            return f"[{SPACE}{chars(inner)}]+|{other}"
+        if not inner:
+            return f"{SPACE}+|{other}"
+        plain = {c for c in inner if c.isalnum()}
+        marks = inner - plain
+        pairs = {p[i : i + 2] for p in known for i in range(len(p) - 1)}
+        tied = {x[0] for x in pairs if x[0] in plain and x[1] in marks}
+        if not plain or not marks or any(x[0] in marks and x[1] in plain for x in pairs):
+            return f"{SPACE}*[{chars(inner)}]+|{SPACE}+|{other}"
+        w, m = f"[{chars(plain)}]", f"[{chars(marks)}]"
+        bound = f"{SPACE}*(?:{w}*[{chars(tied)}]{m}+)+{w}*|" if tied else ""
+        return f"{bound}{SPACE}*{w}+|{SPACE}*{m}+|{SPACE}+|{other}"
+
+    def _steps(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """Ranks of the merges that make a piece, in order, and the symbols at its edges before each and at the end."""
+        parts, ranks, left, right = list(piece), [], [], []
+        while True:
+            left.append(parts[0])
+            right.append(parts[-1])
+            i, best = self._best(parts)
+            ranks.append(best)
+            if i < 0:
+                return ranks, left, right
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+
+    def _best(self, parts: list[str]) -> tuple[int, float]:
+        """The place and rank of the next merge, the leftmost of equals; -1 and infinity if there is none."""
+        rank = self.rank
+        ranks = [rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        best = min(ranks, default=np.inf)
+        return (ranks.index(best), best) if best < np.inf else (-1, np.inf)
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether two pieces side by side stay as they are when merged."""
@@ -204,10 +229,26 @@ class Encoder:
         if found is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            left, right = self.text[a], self.text[b]
-            found = self.pairs[key] = self._merged(left + right) == [left, right]
+            found = self.pairs[key] = self._stay(a, b)
         return found
 
+    def _stay(self, a: int, b: int) -> bool:
+        """Merges both sides in step; False if a merge across the border comes first at any point."""
+        get, i, j = self.rank.get, 0, 0
+        left, _, edge = self.steps[a]
+        right, other, _ = self.steps[b]
+        while True:
+            x, y = left[i], right[j]
+            across = get(edge[i] + other[j])
+            if across is not None and across < x and across <= y:
+                return False
+            if x <= y:
+                if x == np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def _by_ranks(self, word: str) -> list[int]:
         last = [-1] * (len(word) + 1)
         length, pairs, apart = self.length, self.pairs, self._apart
@@ -237,7 +278,7 @@ class Encoder:
         return [self.model.unk_id]
 
     def _unit(self, word: str) -> bytes:
-        if not self.inside.match(word) or (SPACE in word and SPACE not in self.rank):
+        if word[0] not in self.inside or (SPACE in word and SPACE not in self.rank):
             return np.array(self._unknown(word), "<i4").tobytes()
         last = (self._by_ranks if self.model.kind == BPE else self._by_scores)(word)
         at, pieces = len(word), []
@@ -250,23 +291,22 @@ class Encoder:
                 ids.append(self.id[t])
             elif self.byte_ids or not ids or ids[-1] != self.model.unk_id:
                 ids.extend(self._unknown(self.text[t]))
-        return np.array(ids, "<i4").tobytes()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
         if not text:
             return np.zeros(0, np.int32)
-        words, found = self.words, []
-        for word in self.units.findall(self.model.normalise(text)):
-            ids = words.get(word)
-            if ids is None:
-                ids = self._unit(word)
-                if len(word) <= 64:
-                    if len(words) >= CACHED_WORDS:
-                        words.clear()
-                    words[word] = ids
-            found.append(ids)
-        return np.frombuffer(b"".join(found), "<i4")
+        get, unit = self.words.get, self._cached
+        return np.frombuffer(b"".join([get(w) or unit(w) for w in self.units.findall(self.model.normalise(text))]), "<i4")
+
+    def _cached(self, word: str) -> bytes:
+        ids = self._unit(word)
+        if len(word) <= 64:
+            if len(self.words) >= CACHED_WORDS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
 
 def encode(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
