@@ -1 +1 @@
-
+"""Contingency cells, expected counts, scoring models and decision rules."""

@@ -5,11 +5,114 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cellwise.operators import bayes, cells, expected, ratios
+from cellwise.operators.lbe import exponent
+from cellwise.operators.ordering import with_position
+from cellwise.plans import oracle as O
+from cellwise.plans import views
+from cellwise.plans.rounding import rounded
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _cells(view: Callable, **options) -> Callable[[SparkSession, str], cells.Cells]:
+    return lambda spark, sf_dir: cells.convert(view(spark, sf_dir), **options)
+
+
+def _signals(model: Callable, view: Callable, which: str = "all_signals", **options) -> Query:
+    return lambda spark, sf_dir: rounded(getattr(model(cells.convert(view(spark, sf_dir)), **options), which))
+
+
+def _q_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.convert(views.user_event(spark, sf_dir), margin_threshold=10).data
+
+
+def _q_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.contingency_table(views.name_size(spark, sf_dir), margin_threshold=100)
+
+
+def _q_expected_mh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = expected.calculate_expected(_cells(views.brand_quantity)(spark, sf_dir))
+    return rounded(found.select("product_name", "ae_name", "n11", "E"))
+
+
+def _q_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_position(cells.convert(views.name_size(spark, sf_dir)).data).select("ae_name", "product_name", "pos")
+
+
+def _expected(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = expected.calculate_expected(_cells(views.name_size)(spark, sf_dir), method, 1.0)
+        return rounded(found.select("product_name", "ae_name", "n11", "E"), 4)
+
+    return run
+
+
+def _q_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(expected.dispersion_table(_cells(views.name_size)(spark, sf_dir)), 4)
+
+
+PRIOR = dict(zip(("alpha1", "beta1", "alpha2", "beta2", "w"), O.PRIOR, strict=True))
+
+
+def queries() -> dict[str, Query]:
+    """One entry for each operator and its variants."""
+    return {
+        "cells": _q_cells,
+        "contingency": _q_contingency,
+        "cell_position": _q_position,
+        "expected_mh": _q_expected_mh,
+        "expected_poisson": _expected("poisson"),
+        "expected_nb": _expected("negative-binomial"),
+        "dispersion": _q_dispersion,
+        "prr": _signals(ratios.prr, views.name_size),
+        "prr_flags": _signals(ratios.prr, views.flags),
+        "prr_ci": _signals(ratios.prr, views.name_size, ranking_statistic="CI", decision_metric="rank", decision_thres=0.5),
+        "prr_signals": _signals(ratios.prr, views.name_size, "signals", decision_metric="rank", decision_thres=0.05),
+        "prr_min_events": _signals(ratios.prr, views.name_size, min_events=20),
+        "ror": _signals(ratios.ror, views.brand_quantity),
+        "ror_signals": _signals(ratios.ror, views.name_size, "signals", decision_metric="signals", decision_thres=0.01),
+        "rfet": _signals(ratios.rfet, views.brand_quantity),
+        "rfet_mid": _signals(ratios.rfet, views.brand_quantity, mid_pval=True),
+        "bcpnn": _signals(bayes.bcpnn, views.user_event),
+        "bcpnn_p": _signals(bayes.bcpnn, views.name_size, ranking_statistic="p_value"),
+        "bcpnn_signals": _signals(bayes.bcpnn, views.name_size, "signals"),
+        "bcpnn_mc": _signals(bayes.bcpnn, views.flags, MC=True, num_MC=1000, seed=7),
+        "gps": _signals(bayes.gps, views.name_size, ranking_statistic="p_value", prior_param=list(O.PRIOR)),
+        "gps_log2": lambda spark, sf_dir: _signals(bayes.gps, views.user_event, prior_param=list(O.PRIOR))(spark, sf_dir).drop("LowerBound"),
+        "gps_quantile": _signals(bayes.gps, views.name_size, "signals", ranking_statistic="quantile", prior_param=list(O.PRIOR)),
+        "gps_fit": _signals(bayes.gps, views.name_size),
+        "gps_fit_truncated": _signals(bayes.gps, views.name_size, truncate=True, truncate_thres=1),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The same results by independent formulas."""
+    a_name, a_brand, a_flags = (exponent(m) for m in (1469, 1250, 180))
+    ns, bq, ue = O.cells("name_size"), O.cells("brand_quantity"), O.cells("user_event")
+    with_prr = O.ratio_query(ns, O.prr_scores(), a_name, O.ratio_columns())
+    found = {
+        "cells": O.cells("user_event", 10)
+        + " SELECT events, n1j AS product_aes, ni1 AS count_across_brands, ae AS ae_name, name AS product_name FROM c",
+        "contingency": O.cells("name_size", 100) + " SELECT name AS product_name, ae AS ae_name, events FROM k",
+        "cell_position": ns + " SELECT ae AS ae_name, name AS product_name, pos FROM c",
+        "expected_mh": bq + f" SELECT name AS product_name, ae AS ae_name, n11, {O.rnd('e')} AS \"E\" FROM c",
+        "prr": with_prr,
+        "prr_flags": O.ratio_query(O.cells("flags"), O.prr_scores(), a_flags, O.ratio_columns()),
+        "prr_ci": O.ratio_query(
+            ns, O.prr_scores(), a_name, O.ratio_columns("lower_", "lower_bound_CI(95%)", "CAST(NULL AS DOUBLE)")
+        ),
+        "prr_signals": f"SELECT * FROM ({with_prr}) WHERE p_value <= 0.05",
+        "ror": O.ratio_query(bq, O.ror_scores(), a_brand, O.ratio_columns()),
+        "rfet": O.ratio_query(bq, O.rfet_scores(), a_brand, O.ratio_columns()),
+        "bcpnn": ue + f", {O.bcpnn_scores()}, {O.error_rates()} SELECT {O.bayes_columns('lower_', 'quantile')} FROM z",
+        "bcpnn_p": ns + f", {O.bcpnn_scores()}, {O.error_rates()} SELECT {O.bayes_columns('post', 'p_value')} FROM z",
+        "bcpnn_signals": ns
+        + f", {O.bcpnn_scores()}, {O.error_rates()} SELECT {O.bayes_columns('lower_', 'quantile')} FROM z WHERE lower_ >= 0.05",
+        "gps": ns + f", {O.gps_scores()}, {O.error_rates(mirrored=False)} SELECT {O.bayes_columns('post', 'p_value')} FROM z",
+        "gps_log2": ue
+        + f", {O.gps_scores()}, {O.error_rates()} SELECT {O.bayes_columns('eb', 'log2', f', {O.rnd("post")} AS p_value')} FROM z",
+    }
+    return found

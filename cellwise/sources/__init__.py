@@ -1 +1 @@
-
+"""Reading reports and writing results."""
