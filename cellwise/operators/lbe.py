@@ -66,7 +66,8 @@ def rank_rates(rows: DataFrame, p: str, groups: Sequence[str] = ()) -> DataFrame
     near = F.col("pi0") * F.col(p) * m / rank
     j = rank - 1  # zero-based place behind the first k
     far = F.when(j > 0, F.col("pi0") * m / (2 * j) + 1 - k / j)
-    return rows.withColumn("fdr", F.least(F.lit(1.0), F.when(rank <= k, near).otherwise(far)))
+    rate = F.when(rank <= k, near).otherwise(far)
+    return rows.withColumn("fdr", F.when(rate <= 1, rate).when(rate > 1, 1.0))
 
 
 @dataclass(frozen=True)

@@ -68,7 +68,8 @@ def _normal_scores(rows: DataFrame, relative_risk: float) -> DataFrame:
     rows = rows.withColumn("root", safe).withColumn("z", (F.col("log_ratio") - math.log(relative_risk)) / F.col("root"))
     return rows.withColumns(
         {
-            "p": F.least(F.lit(1.0), F.greatest(F.lit(0.0), upper_normal("z"))),
+            # least and greatest would skip a null
+            "p": F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), upper_normal("z")))),
             "lower": F.col("log_ratio") - Z975 * F.col("root"),
         }
     )

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.operators import bayes, cells, expected, ratios
+from cellwise.operators import bayes, binary, cells, expected, ratios
+from cellwise.operators.lasso import lasso
+from cellwise.operators.longitudinal import LongitudinalModel
 from cellwise.operators.lbe import exponent
 from cellwise.operators.ordering import with_position
 from cellwise.plans import oracle as O
@@ -54,6 +56,41 @@ def _q_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(expected.dispersion_table(_cells(views.name_size)(spark, sf_dir)), 4)
 
 
+def _long(model: Callable, view: Callable, unit: str, cumulative: bool, **options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        slices = LongitudinalModel(view(spark, sf_dir), unit)
+        found = (slices.run if cumulative else slices.run_disjoint)(model, include_gaps=False, **options)
+        return rounded(found.all_signals.withColumn("slice_ts", F.date_format("slice_ts", "yyyy-MM-dd")))
+
+    return run
+
+
+def _q_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = binary.convert_binary(views.multi(spark, sf_dir), ["name", "name2"]).patterns
+    return found.select(F.concat_ws("|", "products.product").alias("products"), "ae", "y", "rows")
+
+
+def _q_binary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = binary.convert_binary(views.multi(spark, sf_dir), ["name", "name2"], use_counts=True).patterns
+    return found.select(F.concat_ws("|", "products.product").alias("products"), "ae", "y")
+
+
+def _q_multi_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.convert_multi_item(views.multi(spark, sf_dir), ["name", "name2"]).data
+
+
+def _q_multi_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.convert_multi_item(views.multi(spark, sf_dir), ["name", "name2"]).totals
+
+
+def _lasso(**options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        design = binary.convert_binary(views.brand_flag(spark, sf_dir))
+        return rounded(lasso(design, **options).all_signals)
+
+    return run
+
+
 PRIOR = dict(zip(("alpha1", "beta1", "alpha2", "beta2", "w"), O.PRIOR, strict=True))
 
 
@@ -83,6 +120,17 @@ def queries() -> dict[str, Query]:
         "gps": _signals(bayes.gps, views.name_size, ranking_statistic="p_value", prior_param=list(O.PRIOR)),
         "gps_log2": lambda spark, sf_dir: _signals(bayes.gps, views.user_event, prior_param=list(O.PRIOR))(spark, sf_dir).drop("LowerBound"),
         "gps_quantile": _signals(bayes.gps, views.name_size, "signals", ranking_statistic="quantile", prior_param=list(O.PRIOR)),
+        "long_cumulative": _long(ratios.prr, views.brand_quantity, "YE", True),
+        "long_disjoint": _long(bayes.bcpnn, views.brand_quantity, "YE", False),
+        "long_daily": _long(bayes.bcpnn, views.user_event, "D", True),
+        "binary": _q_binary,
+        "binary_counts": _q_binary_counts,
+        "multi_item": _q_multi_item,
+        "multi_item_total": _q_multi_total,
+        "lasso": _lasso(alpha=0.0005, num_bootstrap=0),
+        "lasso_ic": _lasso(use_IC=True, num_bootstrap=0),
+        "lasso_bootstrap": _lasso(alpha=0.0005, num_bootstrap=10),
+        "lasso_glm": _lasso(use_glm=True),
         "gps_fit": _signals(bayes.gps, views.name_size),
         "gps_fit_truncated": _signals(bayes.gps, views.name_size, truncate=True, truncate_thres=1),
     }
@@ -115,4 +163,42 @@ def oracle_sql() -> dict[str, str]:
         "gps_log2": ue
         + f", {O.gps_scores()}, {O.error_rates()} SELECT {O.bayes_columns('eb', 'log2', f', {O.rnd("post")} AS p_value')} FROM z",
     }
+    found |= _more_oracles()
     return found
+
+
+def _more_oracles() -> dict[str, str]:
+    years = f"""SELECT s.y AS ts, name, ae, cnt FROM ({views.SQL['brand_quantity']}) r
+      JOIN (SELECT DISTINCT last_day(make_date(year(dt)::BIGINT, 12, 1))::TIMESTAMP AS y FROM ({views.SQL['brand_quantity']})) s
+      ON {{on}}"""
+    days = f"""SELECT s.d AS ts, name, ae, cnt FROM ({views.SQL['user_event']}) r
+      JOIN (SELECT DISTINCT date_trunc('day', dt)::TIMESTAMP AS d FROM ({views.SQL['user_event']})) s ON r.dt <= s.d"""
+    own = "make_date(year(r.dt)::BIGINT, 12, 31)::TIMESTAMP = s.y"
+    disjoint = O.cells("", key="ts", source=years.format(on=own))
+    daily = O.cells("", key="ts", source=days)
+    stamp = "strftime(ts, '%Y-%m-%d') AS slice_ts"
+    cumulative = O.ratio_query(
+        O.cells("", key="ts", source=years.format(on="r.dt <= s.y")), O.prr_scores(), {m: exponent(m) for m in range(1100, 1251)}, O.ratio_columns(), key="ts"
+    )
+    pairs = f"""WITH rep AS ({views.SQL['multi']}),
+      s AS (SELECT ae, cnt, name AS p, name AS a, NULL AS b FROM rep UNION ALL SELECT ae, cnt, name2, name2, NULL FROM rep
+            UNION ALL SELECT ae, cnt, least(name, name2) || '|' || greatest(name, name2), name, name2 FROM rep),
+      e AS (SELECT ae, p, any_value(a) AS a, any_value(b) AS b, sum(cnt)::BIGINT AS events, count(*) AS uses FROM s GROUP BY ae, p),
+      n AS (SELECT p, count(*) AS c FROM (SELECT name AS p FROM rep UNION ALL SELECT name2 FROM rep) GROUP BY p),
+      x AS (SELECT ae, 2 * count(*) AS c FROM rep GROUP BY ae)"""
+    return {
+        "long_cumulative": f"SELECT * EXCLUDE (ts), {stamp} FROM ({cumulative})",
+        "long_disjoint": disjoint
+        + f", {O.bcpnn_scores()}, {O.error_rates('ts')} SELECT {stamp}, {O.bayes_columns('lower_', 'quantile')} FROM z",
+        "long_daily": daily
+        + f", {O.bcpnn_scores()}, {O.error_rates('ts')} SELECT {stamp}, {O.bayes_columns('lower_', 'quantile')} FROM z",
+        "binary": f"""SELECT least(name, name2) || '|' || greatest(name, name2) AS products, ae, 1::BIGINT AS y, count(*) AS rows
+          FROM ({views.SQL['multi']}) GROUP BY ALL""",
+        "binary_counts": f"""SELECT least(name, name2) || '|' || greatest(name, name2) AS products, ae, sum(cnt)::BIGINT AS y
+          FROM ({views.SQL['multi']}) GROUP BY ALL""",
+        "multi_item": pairs
+        + """ SELECT events, (na.c + coalesce(nb.c, 0))::BIGINT AS product_aes, x.c::BIGINT AS count_across_brands, e.ae AS ae_name, e.p AS product_name
+          FROM e JOIN n na ON na.p = e.a LEFT JOIN n nb ON nb.p = e.b JOIN x ON x.ae = e.ae""",
+        "multi_item_total": pairs + ' SELECT sum(events * uses)::BIGINT AS "N" FROM e',
+    }
+

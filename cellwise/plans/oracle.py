@@ -35,7 +35,7 @@ def gamma_p(a: str, x: str) -> str:
 
 
 def rnd(x: str) -> str:
-    return f"round(({x})::DOUBLE, 6) + 0.0"
+    return f"round(({x})::DOUBLE * 1.000000000001::DOUBLE, 6) + 0.0"
 
 
 def big(x: str) -> str:
@@ -54,24 +54,29 @@ def cells(view: str, threshold: int = 1, min_events: int = 1, key: str = "", sou
     k AS (SELECT {g}name, ae, events FROM w WHERE rp >= {threshold} AND ra >= {threshold}),
     m AS (SELECT *, (sum(events) OVER (PARTITION BY {g}name))::BIGINT AS n1j, (sum(events) OVER (PARTITION BY {g}ae))::BIGINT AS ni1 FROM k),
     t AS (SELECT *, (sum(events) OVER ({by}))::DOUBLE AS n FROM m WHERE events > 0),
-    c AS (SELECT {g}name, ae, events, n1j, ni1, n, events::DOUBLE AS n11, n1j * (ni1 / n) AS e,
+    c AS (SELECT {g}name, ae, events, n1j, ni1, n, events::DOUBLE AS n11, (n1j * ni1)::DOUBLE / n AS e,
           row_number() OVER ({by}ORDER BY ae, name) AS pos, (count(*) OVER ({by}))::DOUBLE AS m
           FROM t WHERE events >= {min_events})"""
 
 
-def pi0(a: str | float, key: str = "") -> str:
-    """The share of null hypotheses from ``p`` in ``s2``; a > 1 is given as a number."""
+def pi0(a: float | dict[int, float], key: str = "") -> str:
+    """The share of null hypotheses from ``p``; the exponent is one number, or one for each number of cells."""
     from math import gamma
 
-    part = f"WHEN least(p, 1 - p) * 2 >= 1 THEN 1e300 ELSE pow(-ln(1 - 2 * least(p, 1 - p)), {a})"
+    if isinstance(a, dict):
+        case = lambda f: "CASE m " + " ".join(f"WHEN {m} THEN {f(x)!r}::DOUBLE" for m, x in a.items()) + " END"
+        power, scale = f"({case(float)})", f"({case(lambda x: gamma(x + 1))})"
+    else:
+        power, scale = f"{a!r}", f"{gamma(float(a) + 1)!r}"
+    part = f"WHEN least(p, 1 - p) * 2 >= 1 THEN 1e300 ELSE pow(-ln(1 - 2 * least(p, 1 - p)), {power})"
     by = f"PARTITION BY {key}" if key else ""
     return (
         f"CASE WHEN count(p) OVER ({by}) < count(*) OVER ({by}) THEN 1.0 ELSE "
-        f"least(1.0, avg(CASE {part} END) OVER ({by}) / {gamma(float(a) + 1)!r}) END"
+        f"least(1.0, avg((CASE {part} END) / {scale}) OVER ({by})) END"
     )
 
 
-def ratio_query(head: str, p_and_more: str, a: float, columns: str, key: str = "") -> str:
+def ratio_query(head: str, p_and_more: str, a: float | dict[int, float], columns: str, key: str = "") -> str:
     """A ratio model from ``c``: scores, rates by rank given to rows by position, output."""
     g, by = (f"{key}, ", f"PARTITION BY {key} ") if key else ("", "")
     on = f"r.{key} = x.{key} AND " if key else ""
@@ -83,7 +88,7 @@ def ratio_query(head: str, p_and_more: str, a: float, columns: str, key: str = "
            (count(*) FILTER (p <= 0.5) OVER ({by}))::DOUBLE AS kk FROM s2),
     r AS (SELECT {g}rk, least(1.0, CASE WHEN rk <= kk THEN pi0 * p * m / rk
           WHEN rk > 1 THEN pi0 * m / (2.0 * (rk - 1)) + 1 - kk / (rk - 1) END) AS fdr FROM s3)
-    SELECT {g}{columns} FROM s3 x JOIN r ON {on}r.rk = x.pos"""
+    SELECT {'x.' + g if g else ''}{columns} FROM s3 x JOIN r ON {on}r.rk = x.pos"""
 
 
 def ratio_columns(stat: str = "p", name: str = "p_value", fdr: str = "fdr") -> str:
