@@ -42,8 +42,8 @@ FAMILIES = {
     "semitic": ("ar", "he", "mt"),
     "indo-iranian": ("bn", "fa", "gu", "hi", "ku", "mr", "ne", "pa", "ps", "ur"),
 }
-DIM = 4096
-PER_LANGUAGE = 1000
+DIM = 2048
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 #: Code points hashed at a time, so that a text of any length needs bounded memory.
 SLICE = 1 << 20
@@ -82,15 +82,16 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 30
 
     Classes weigh alike. Starts from zero and has no random part.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    y = y.astype(x.dtype)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x.dtype)
     rate = 1 / (2 * 2.0 + penalty)  # rows have a squared norm of 2
-    w = v = np.zeros(x.shape[1])
+    w = v = np.zeros(x.shape[1], x.dtype)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         step = penalty * v - 2 * x.T @ (share * y * slack)
-        new = v - rate * step
-        v, w = new + k / (k + 3) * (new - w), new
+        new = (v - rate * step).astype(x.dtype)
+        v, w = new + x.dtype.type(k / (k + 3)) * (new - w), new
     return w.astype(np.float32)
 
 
