@@ -1,6 +1,6 @@
 """Token ids packed into rows of fixed length by best-fit decreasing.
 
-Texts are encoded; ids beyond a row's length are split off in whole rows, so no id
+Texts are encoded by byte-level BPE with the installed library; ids beyond a row's length are split off in whole rows, so no id
 is lost. Segments are packed into rows of LENGTH ids, the longest first, each into
 the row with the least room that still holds it. Rooms are leaves of a segment
 tree over capacities, so the search takes log2(LENGTH) steps. Each task packs what
@@ -19,23 +19,63 @@ their own. Columns other than ``doc_id`` and ``text`` are ignored, whatever thei
 
 from __future__ import annotations
 
+import base64
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.llm.common import table
-from cellwise.llm.sentencepiece import MODEL, Model
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the pattern of words of this vocabulary.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer texts are encoded in parts that begin with a space between words, which no token crosses.
+PART = 100_000
 LENGTH = 2048
 BATCH_IDS = 1 << 22
 #: Packed rows handed on at a time.
 ROWS = 512
 
+_WORDS = re.compile(r"[^\W\d_] (?=[^\W\d_])")
+
+
+class Vocabulary:
+    """Byte strings by rank from a file; of fixed size, so it is broadcast. The encoder is made by each worker."""
+
+    def __init__(self, path: str = RANKS):
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    def __getstate__(self) -> dict:
+        return {"ranks": self.ranks}
+
+    @cached_property
+    def encoding(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text."""
+        if not text:
+            return np.zeros(0, np.uint32)
+        found, at = [], 0
+        while at < len(text):
+            cut = _WORDS.search(text, at + PART)
+            end = cut.start() + 1 if cut else len(text)
+            found.append(self.encoding.encode_to_numpy(text[at:end]))
+            at = end
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
+    def decode(self, ids) -> str:
+        return self.encoding.decode([int(i) for i in ids])
+
 
 class Rooms:
     """Open rows by room left; ``take`` finds the least room that is at least so large."""
@@ -106,11 +146,11 @@ def _packed(segments: list[tuple], length: int, dtype: str, pad: int, prefix: st
         }
 
 
-def pack(docs: DataFrame, model: Model, length: int = LENGTH, pad_id: int = 0, batch_ids: int = BATCH_IDS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH, pad_id: int = 0, batch_ids: int = BATCH_IDS) -> DataFrame:
     """The packed rows of all texts of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col("doc_id"), F.col("text").alias("_whole_text"))
-    width = 2 if len(model.pieces) <= 1 << 16 else 4
+    width = 2 if max(vocabulary.ranks.values()) < 1 << 16 else 4
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"pack_id string, id_bytes int, ids binary, cu_seqlens array<int>, resets array<int>, "
@@ -118,7 +158,7 @@ def pack(docs: DataFrame, model: Model, length: int = LENGTH, pad_id: int = 0, b
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value.encoder
+        encoder = shared.value
         task = TaskContext.get().partitionId()
         segments, size, turn = [], 0, 0
         id_type = None
@@ -171,5 +211,5 @@ def unpack(rows: list) -> dict:
     return {d: np.concatenate([x for _, x in sorted(p, key=lambda x: x[0])]) for d, p in parts.items()}
 
 
-def op10_packing(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), Model.load(model_path))
+def op10_packing(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), Vocabulary(ranks_path))
