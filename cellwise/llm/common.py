@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column ``_row`` beside ``keys``, so that no name of the input can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, *[value.alias(name) for name, value in keys.items()])
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by ``materialize`` that nothing reads any more."""
     spark = df.sparkSession

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, table
+from cellwise.llm.common import materialize, packed, table
 
 MAX_EDITS = 0.2
 MIN_WORDS = 5
@@ -281,14 +281,13 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[Blo
     rows = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.select("text").distinct().withColumn("size", F.size(F.split("text", r"\s+")))
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("n"), "text", "size"), "items")
-    total = texts.agg(F.sum("size"), F.max("size"), F.count(F.lit(1))).first()
-    count = -(-(total[0] or 0) // block_words)
-    # Dealt by place, each block has about as many words; one item alone may be longer than a block.
-    order = Window.partitionBy(F.col("n") % 64).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    total = texts.agg(F.sum("size")).first()[0]
+    # Dealt in lanes that are filled side by side; one item alone may be longer than a block.
+    lanes = min(max((total or 0) // block_words, 1), 64)
+    order = Window.partitionBy(F.col("n") % lanes).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    per = F.lit(max(1, block_words // 64))
-    dealt = materialize(texts.withColumn("block", F.floor(before / per)), "blocks")
-    count = (dealt.agg(F.max("block")).first()[0] or 0) + 1 if count else 0
+    dealt = materialize(texts.withColumn("block", F.floor(before / max(1, block_words // lanes))), "blocks")
+    count = (dealt.agg(F.max("block")).first()[0] or 0) + 1 if total else 0
     ids = rows.join(dealt.select("n", "text"), "text").select("n", "item_id")
     return Blocks(dealt, int(count)), ids
 
@@ -328,12 +327,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns."""
-    rows = docs.withColumn("_row_key", F.xxhash64("text"))
-    gone = find_leaks(rows, benchmark, ("doc_id", "_row_key")).select(
+    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_row_key"), F.col("text"))
+    gone = find_leaks(keyed, benchmark, ("doc_id", "_row_key")).select(
         F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")
     )
-    match = rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_row_key"] == gone["_key"])
-    return rows.join(gone, match, "left_anti").select(*docs.columns)
+    rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))
+    match = rows["_doc"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_key"])
+    return rows.join(gone, match, "left_anti").select("_row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, table
+from cellwise.llm.common import materialize, packed, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A chunk ends after a full stop or a space that follows one of these letter pairs,
@@ -125,12 +125,10 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    named = docs.withColumn("_text_sha256", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    left = named.join(
-        kept, named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text_sha256"] == kept["_sha"]), "left_semi"
-    )
-    again = Window.partitionBy("doc_id", "_text_sha256").orderBy(F.lit(0))
-    return left.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*docs.columns)
+    rows = packed(docs, _doc=F.col("doc_id"), _text=F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    left = rows.join(kept, rows["_doc"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_sha"]), "left_semi")
+    again = Window.partitionBy("_doc", "_text").orderBy(F.lit(0))
+    return left.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select("_row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

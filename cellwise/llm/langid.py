@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, table
+from cellwise.llm.common import materialize, packed, table
 
 # Language codes by family.
 FAMILIES = {
@@ -224,12 +224,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns."""
-    rows = docs.withColumn("_row_key", F.xxhash64("text"))
+    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_row_key"), F.col("text"))
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    found = predict(rows, model, keep=("doc_id", "_row_key")).filter(F.col("lang_pred") == UNKNOWN)
+    found = predict(keyed, model, keep=("doc_id", "_row_key")).filter(F.col("lang_pred") == UNKNOWN)
     gone = materialize(found.select(F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")), "rejected")
-    match = rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_row_key"] == gone["_key"])
-    return rows.join(gone, match, "left_anti").select(*docs.columns)
+    rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))
+    match = rows["_doc"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_key"])
+    return rows.join(gone, match, "left_anti").select("_row.*")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, table
+from cellwise.llm.common import materialize, packed, table
 from cellwise.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -191,10 +191,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("component_id").orderBy("text_key"))
     kept = classes.withColumn("_rank", rank).filter("_rank = 1")
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    named = docs.withColumn("_text_key", F.xxhash64("text"))
-    left = named.join(kept, named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text_key"] == kept["_key"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0)))
-    return left.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))
+    left = rows.join(kept, rows["_doc"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_key"]), "left_semi")
+    again = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.lit(0)))
+    return left.withColumn("_again", again).filter("_again = 1").select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
