@@ -186,7 +186,11 @@ def _more_oracles() -> dict[str, str]:
       e AS (SELECT ae, p, any_value(a) AS a, any_value(b) AS b, sum(cnt)::BIGINT AS events, count(*) AS uses FROM s GROUP BY ae, p),
       n AS (SELECT p, count(*) AS c FROM (SELECT name AS p FROM rep UNION ALL SELECT name2 FROM rep) GROUP BY p),
       x AS (SELECT ae, 2 * count(*) AS c FROM rep GROUP BY ae)"""
+    ror_names = O.ratio_query(O.cells("name_size"), O.ror_scores(), exponent(1469), O.ratio_columns())
     return {
+        "prr_min_events": O.ratio_query(O.cells("name_size", min_events=20), O.prr_scores(), exponent(1451), O.ratio_columns()),
+        "ror_signals": f"SELECT * FROM ({ror_names}) WHERE p_value <= 0.01",
+        "rfet_mid": O.ratio_query(O.cells("brand_quantity"), O.rfet_scores(mid=True), exponent(1250), O.ratio_columns()),
         "long_cumulative": f"SELECT * EXCLUDE (ts), {stamp} FROM ({cumulative})",
         "long_disjoint": disjoint
         + f", {O.bcpnn_scores()}, {O.error_rates('ts')} SELECT {stamp}, {O.bayes_columns('lower_', 'quantile')} FROM z",
