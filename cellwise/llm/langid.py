@@ -6,7 +6,7 @@ One-versus-one linear SVMs decide among families; within the family that wins,
 one-versus-one linear SVMs separate its languages by votes and margins.
 
 The training sample is bounded and documented: at most PER_LANGUAGE rows of each
-language, those with the least hash of ``doc_id`` and text; everything else
+language and MOST_ROWS of all, those with the least hash of ``doc_id`` and text; everything else
 (features, prediction) covers every row and whole texts. The models have a fixed
 size: (families + languages)^2 / 2 vectors of DIM weights.
 
@@ -44,6 +44,8 @@ FAMILIES = {
 }
 DIM = 2048
 PER_LANGUAGE = 500
+#: Rows of the training sample altogether, which bounds what comes to the driver.
+MOST_ROWS = 20_000
 UNKNOWN = "und"
 #: Code points hashed at a time, so that a text of any length needs bounded memory.
 SLICE = 1 << 20
@@ -160,7 +162,9 @@ def training_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     rank = F.xxhash64("doc_id", "text")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     part = rank.bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
-    likely = rows.join(F.broadcast(_few(counts)), "lang").filter(part * F.col("n") <= 2.0 * per_language + 50)
+    few = _few(counts)
+    per_language = min(per_language, max(1, MOST_ROWS // max(1, few.count())))
+    likely = rows.join(F.broadcast(few), "lang").filter(part * F.col("n") <= 2.0 * per_language + 50)
     order = Window.partitionBy("lang").orderBy(part, rank, "doc_id")
     return likely.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).drop("_rank", "n")
 
