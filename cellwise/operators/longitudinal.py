@@ -18,12 +18,13 @@ from cellwise.operators.cells import Cells, convert
 from cellwise.operators.result import Signals
 
 SLICE = "slice_ts"
-# Time units by their alias, as (unit of truncation, months or days a slice, labelled at its end).
+# Time units by their alias, as (unit of truncation, its length in months, days, hours or minutes, labelled at its end).
 UNITS = {
     "A": ("year", 12, True), "Y": ("year", 12, True), "YE": ("year", 12, True), "AS": ("year", 12, False), "YS": ("year", 12, False),
     "Q": ("quarter", 3, True), "QE": ("quarter", 3, True), "QS": ("quarter", 3, False),
     "M": ("month", 1, True), "ME": ("month", 1, True), "MS": ("month", 1, False),
     "W": ("week", 7, True), "W-SUN": ("week", 7, True), "D": ("day", 1, False),
+    "h": ("hour", 1, False), "H": ("hour", 1, False), "min": ("minute", 1, False), "T": ("minute", 1, False),
 }
 
 
@@ -32,11 +33,15 @@ def slice_start(date: Column, unit: str) -> Column:
     return F.date_trunc(UNITS[unit][0], date)
 
 
-def next_start(start: Column, unit: str) -> Column:
+def _step(unit: str) -> Column:
+    """The length of a slice as an interval."""
     name, size, _ = UNITS[unit]
-    if name in ("week", "day"):
-        return start + F.make_interval(days=F.lit(size))
-    return start + F.make_interval(months=F.lit(size))
+    part = {"week": "days", "day": "days", "hour": "hours", "minute": "mins"}.get(name, "months")
+    return F.make_interval(**{part: F.lit(size)})
+
+
+def next_start(start: Column, unit: str) -> Column:
+    return start + _step(unit)
 
 
 def label(start: Column, unit: str) -> Column:
@@ -80,10 +85,8 @@ class LongitudinalModel:
     def calendar(self) -> DataFrame:
         """``slice_ts, _start, count``: every slice from the first date to the last, with its own count."""
         dated = self._dated()
-        name, size, _ = UNITS[self.time_unit]
-        step = F.make_interval(days=F.lit(size)) if name in ("week", "day") else F.make_interval(months=F.lit(size))
         ends = dated.agg(F.min("_start").alias("a"), F.max("_start").alias("b")).filter("a IS NOT NULL")
-        every = ends.select(F.explode(F.sequence("a", "b", step)).alias("_start"))
+        every = ends.select(F.explode(F.sequence(F.col("a"), F.col("b"), _step(self.time_unit))).alias("_start"))
         counts = dated.groupBy("_start").agg(F.sum("count").alias("count"))
         return every.join(counts, "_start", "left").select(
             label(F.col("_start"), self.time_unit).alias(SLICE), "_start", F.coalesce("count", F.lit(0)).alias("count")

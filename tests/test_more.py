@@ -37,6 +37,9 @@ def test_gaps_and_units(reports):
     assert "2020-04-30" in empty and "2020-03-31" not in empty
     assert {r["slice_ts"] for r in model.run_disjoint(cellwise.bcpnn, include_gaps=False).all_signals.collect() if r["Product"] is None} == set()
     assert model.regroup_dates("QS").calendar().count() == 12
+    assert model.regroup_dates("W").calendar().count() == 153
+    hours = cellwise.LongitudinalModel(reports.filter("year(date) = 2021 AND month(date) IN (1)"), "h")
+    assert hours.calendar().count() == 1
     with pytest.raises(ValueError):
         cellwise.LongitudinalModel(reports, "fortnight")
 
