@@ -44,7 +44,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Entries of the caches of a worker; a full cache is emptied.
-CACHED_WORDS, CACHED_PAIRS = 800_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS = 300_000, 400_000
 #: Characters of text encoded before a batch is handed on.
 BATCH_CHARS = 4_000_000
 
