@@ -167,12 +167,16 @@ def _by_neighbours(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def near_groups(rows: DataFrame, distance: int = DISTANCE, small: int = SMALL, large: int = LARGE) -> DataFrame:
-    """Adds ``component_id``, the least ``doc_id`` reachable, to rows with ``doc_id`` and ``fp``."""
+    """Adds ``component_id``, the least ``doc_id`` reachable, and ``root`` to rows with ``doc_id`` and ``fp``.
+
+    ``root`` is the least fingerprint of the class, so it alone tells classes apart:
+    ``component_id`` is null for each class without ids and shared where ids repeat.
+    """
     single = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = components(links(single.select("fp"), distance, small, large)).withColumnRenamed("node", "fp")
     known = single.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = known.join(lowest, "root").select("fp", "component_id")
+    classes = known.join(lowest, "root").select("fp", "root", "component_id")
     return rows.join(classes, "fp")
 
 
@@ -181,14 +185,14 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, text_key, fp, component_id`` for each row of ``docs``."""
+    """``doc_id, text_key, fp, root, component_id`` for each row of ``docs``."""
     return near_groups(materialize(fingerprints(docs, shingle), "fingerprints"), distance)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class stays, with all its columns: one with the class's least ``doc_id``."""
+    """One row of each class stays, with all its columns: one with the class's least ``doc_id`` (null only without any)."""
     classes = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rank = F.row_number().over(Window.partitionBy("component_id").orderBy("text_key"))
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("text_key"))
     kept = classes.withColumn("_rank", rank).filter("_rank = 1")
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellwise.llm import exact_dedup, simhash
 from cellwise.llm.components import components
+from tests.llm.conftest import docs_of
 
 
 def norm(t):
@@ -126,3 +127,15 @@ def test_keep_one(messy, empty):
     assert found.count() == messy.count()
     assert kept.count() == found.select("component_id").distinct().count()
     assert simhash.keep_one(empty).count() == 0 and simhash.near_classes(empty).count() == 0
+
+
+def test_keep_one_of_each_class_whatever_the_ids(spark):
+    """Unlike texts under null or equal ids are classes of their own; near copies are still one."""
+    random.seed(12)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    rows = [(None, texts[0], "en"), (None, texts[1], "en"), (None, texts[2], "en"), (7, texts[3], "en"), (7, texts[4], "en"), (7, texts[5], "en"),
+            (None, texts[5], "en"), (None, texts[0].upper(), "en"), (9, texts[6], "en"), (8, texts[6], "en"), (None, texts[6], "en"), (7, texts[7], "en"), (7, texts[7], "en")]
+    kept = [(r["doc_id"], r["text"].lower()) for r in simhash.keep_one(docs_of(spark, rows)).collect()]
+    key = lambda r: (r[0] or 0, r[1])
+    expected = [(None, t) for t in texts[:3]] + [(7, t) for t in (*texts[3:6], texts[7])] + [(8, texts[6])]
+    assert sorted(kept, key=key) == sorted(expected, key=key)
