@@ -5,16 +5,18 @@ leaks into a document if some stretch of the document's words is within
 ``floor(MAX_EDITS * words of the item)`` word edits (insert, delete, replace) of it.
 
 * Embedding: the CGK walk copies word i to output place j and moves to i + 1 if a
-  random bit of (j, word) is set. Two walks that share their bits fall into step
-  again after an edit, so edit distance turns into Hamming distance.
-* LSH: a key is a sample of output places; WALKS walks give SAMPLES keys each. Item
-  windows start at every word of an item, document windows at every word of a
-  document, so any stretch of a copy without an edit can give the key away. A
-  walk that starts at a word reads half of its WIDTH places' words on average.
-* Windows whose first words are too seldom words of items are passed over before the
-  walk: a window that shares a key has nearly all of them from an item. Where every
-  item allows it, two of the words must be uncommon ones as well.
-* Short items have an index of their own with shorter walks.
+  random bit of (j, word) is set. Two walks over the same words take the same way,
+  whatever precedes or follows them.
+* LSH: a key is the first places of a walk. Windows start at every word of an item
+  and of a document. ``m`` words with ``k`` edits always keep ``ceil((m - k) / (k + 1))``
+  words in a row without an edit, and a window that starts there shares each key
+  that reads no further. So windows are as long as that run, not as the item: with
+  up to a fifth of the words edited, walks as long as the item would seldom agree.
+* The number of walks follows from TARGET_RECALL at the worst placement of the
+  edits; other placements keep longer runs, which have more windows.
+* A key that reads fewer than ``need`` words is void. All others read the first
+  ``need`` words one after another, so windows at which these occur in no item
+  are passed over before the walk without losing a shared key.
 * Verification: each candidate (document, item, alignment) is checked exactly by
   bit-parallel approximate matching over a stretch that holds every alignment
   within the limit of edits.
@@ -37,6 +39,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from math import ceil, comb, log
 from typing import NamedTuple
 
 import numpy as np
@@ -52,31 +55,46 @@ BLOCK_WORDS = 200_000
 SEED = 20240101
 
 
+#: Share of copies to be found of those whose edits are placed worst.
+TARGET_RECALL = 0.9999
+#: A run of more words isn't asked for, and no more than NEED words of a key.
+LONGEST_RUN, NEED = 4, 3
+
+
 class Spec(NamedTuple):
-    """How the items of some lengths are looked for."""
+    """How items are looked for of which a copy keeps ``run`` words in a row."""
 
-    least: int  # words of an item
-    most: int
+    run: int
+    need: int  # words that a key reads at least
+    width: int  # output places of a walk, all of them read by its key
     walks: int
-    samples: int
-    width: int  # output places of a walk
-    early: int  # those from which every other sample is taken
-    places: int  # places to a sample
-    head: int  # first words of a window of which ``known`` must occur in items
-    known: int
-
-
-SPECS = (
-    Spec(12, 1 << 30, walks=3, samples=3, width=20, early=14, places=7, head=10, known=8),
-    Spec(MIN_WORDS, 11, walks=4, samples=3, width=8, early=6, places=4, head=5, known=4),
-)
-#: A word is common if it occurs in more than this share of the items (and in more than COMMON_ITEMS).
-COMMON_SHARE, COMMON_ITEMS, UNCOMMON = 0.02, 3, 2
+
+
+def run_of(words: int) -> int:
+    """Words in a row that any copy of an item of so many words keeps, up to LONGEST_RUN."""
+    edits = int(MAX_EDITS * words)
+    return min(-(-(words - edits) // (edits + 1)), LONGEST_RUN)
+
+
+def spec_of(run: int, target: float = TARGET_RECALL) -> Spec:
+    """The width with the likeliest keys within a run, and as many walks as the target recall takes."""
+    need = min(run, NEED)
+
+    def share(width: int) -> float:  # of walks that read ``need`` to ``run`` words
+        return sum(comb(width - 1, moves) for moves in range(need - 1, run)) / 2 ** (width - 1)
+
+    width = max(range(need, 2 * run + 1), key=share)
+    hit = share(width)
+    return Spec(run, need, width, 1 if hit == 1 else ceil(log(1 - target) / log(1 - hit)))
+
+
 TABLE_BITS = 22
 #: Keys are odd numbers but for this one.
 VOID = 0
 #: Words of no item between documents that are searched together, and how many words are.
 GAP, GROUP_WORDS = 24, 200_000
+#: Candidates listed at a time.
+LISTED = 1 << 20
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
@@ -86,21 +104,17 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Index:
-    """Keys of the windows of items of one range of lengths."""
+    """Keys of the windows of the items that keep a run of one length."""
 
     def __init__(self, items: dict[int, np.ndarray], vocabulary: int, spec: Spec, seed: int = SEED):
         self.spec, self.numbers = spec, list(items)
         words = list(items.values())
-        random = np.random.default_rng(seed)
-        shape = (spec.walks, spec.samples, spec.places)
+        random = np.random.default_rng([seed, spec.run])
         self.bits = random.integers(0, 1 << 63, (spec.walks, vocabulary + 1), dtype=np.int64)
-        self.mix = random.integers(1, 1 << 62, shape, dtype=np.int64) | 1
-        self.places = np.empty(shape, int)
-        for walk in range(spec.walks):
-            for s in range(spec.samples):
-                within = spec.early if s % 2 == 0 else spec.width
-                self.places[walk, s] = np.sort(random.choice(within, spec.places, replace=False))
-        self._find_common(words, vocabulary)
+        self.mix = random.integers(1, 1 << 62, (spec.walks, spec.width), dtype=np.int64) | 1
+        self.begun = np.zeros(1 << TABLE_BITS, bool)
+        for w in words:
+            self.begun[self._beginnings(w)[: len(w) - spec.need + 1]] = True
         keys, entries = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int32)]
         for n, w in enumerate(words):
             found = self.keys(w, np.arange(len(w)))
@@ -114,53 +128,41 @@ class Index:
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[self.key & ((1 << TABLE_BITS) - 1)] = True
 
-    def _find_common(self, words: list[np.ndarray], vocabulary: int) -> None:
-        held = np.zeros(vocabulary + 1, int)
-        for w in words:
-            held[np.unique(w)] += 1
-        self.uncommon = (held > 0) & (held <= max(COMMON_ITEMS, COMMON_SHARE * len(words)))
-        # Asked for only if at least half of the windows of each item pass nonetheless.
-        passing = [[len(self._starts(w, n)) for n in (0, UNCOMMON)] for w in words]
-        self.needed = UNCOMMON if all(2 * b >= a for a, b in passing) else 0
+    def _beginnings(self, words: np.ndarray) -> np.ndarray:
+        """A slot of ``begun`` for the first ``need`` words of each window."""
+        padded = np.concatenate([words, np.zeros(self.spec.need, np.int32)]).astype(np.int64)
+        total = np.zeros(len(words), np.int64)
+        for j in range(self.spec.need):
+            total = (total + padded[j : j + len(words)]) * np.int64(-7046029254386353131)
+            total ^= total >> 32 & 0xFFFFFFFF
+        return total & ((1 << TABLE_BITS) - 1)
 
-    def _starts(self, words: np.ndarray, needed: int) -> np.ndarray:
+    def _starts(self, words: np.ndarray) -> np.ndarray:
         """Places of documents at which a window may share a key with an item."""
-        head, n = self.spec.head, len(words)
-
-        def within(flags: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(flags), np.full(head, flags.sum())])
-            return sums[head : head + n] - sums[:n]
-
-        ok = (words > 0) & (within(words > 0) >= self.spec.known)
-        if needed:
-            ok &= within(self.uncommon[words]) >= needed
-        return np.flatnonzero(ok)
+        return np.flatnonzero((words > 0) & self.begun[self._beginnings(words)])
 
     def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row of keys of the windows at ``starts`` for each walk and sample.
+        """A row of keys of the windows at ``starts`` for each walk.
 
-        A sample that holds a word of no item, or a place behind the end, has the key VOID.
+        A walk that reads a word of no item, a place behind the end or too few words has the key VOID.
         """
         spec = self.spec
         padded = np.concatenate([words, np.zeros(spec.width + 1, np.int32)])
-        out = np.empty((spec.walks * spec.samples, len(starts)), np.int64)
+        out = np.empty((spec.walks, len(starts)), np.int64)
         for walk in range(spec.walks):
             at = starts.copy()
-            total = np.zeros((spec.samples, len(starts)), np.int64)
-            void = np.zeros(total.shape, bool)
+            total = np.zeros(len(starts), np.int64)
+            void = np.zeros(len(starts), bool)
             bits = self.bits[walk]
             for j in range(spec.width):
+                if j:
+                    at += bits[word] >> (3 * j) & 1
                 word = padded[at]
-                for s in range(spec.samples):
-                    k = np.searchsorted(self.places[walk, s], j)
-                    if k < spec.places and self.places[walk, s, k] == j:
-                        total[s] += word * self.mix[walk, s, k]
-                        void[s] |= word == 0
-                at += bits[word] >> (3 * j) & 1
-            for s in range(spec.samples):
-                row = walk * spec.samples + s
-                out[row] = ((total[s] ^ (total[s] >> 29)) * np.int64(-7046029254386353131) ^ row) | 1
-                out[row][void[s]] = VOID
+                total += word * self.mix[walk, j]
+                void |= word == 0
+            void |= at - starts + 1 < spec.need
+            out[walk] = ((total ^ (total >> 29)) * np.int64(-7046029254386353131) ^ walk) | 1
+            out[walk][void] = VOID
         return out
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -169,19 +171,22 @@ class Index:
         ``words`` holds documents one after another, parted by ``GAP`` words of no
         item; ``offsets`` are their beginnings.
         """
-        if not self.numbers:
-            return
-        starts = self._starts(words, self.needed)
+        starts = self._starts(words)
         for at in range(0, len(starts), 1 << 16):
             part = starts[at : at + (1 << 16)]
             keys = self.keys(words, part)
             rows, columns = np.nonzero(self.seen[keys & ((1 << TABLE_BITS) - 1)])
             key = keys[rows, columns]
-            low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-            n = high - low
-            if n.sum():
+            lows, highs = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+            sums = np.cumsum(highs - lows)
+            done = 0
+            while done < len(key):
+                before = sums[done - 1] if done else 0
+                end = max(done + 1, int(np.searchsorted(sums, before + LISTED, "right")))
+                low, n, window = lows[done:end], (highs - lows)[done:end], part[columns[done:end]]
+                done = end
                 entry = self.entry[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                window = np.repeat(part[columns], n)
+                window = np.repeat(window, n)
                 doc = np.searchsorted(offsets, window, "right") - 1
                 found = np.stack([doc, entry[:, 0], window - entry[:, 1] - offsets[doc]], 1)
                 for d, item, place in np.unique(found, axis=0).tolist():
@@ -200,9 +205,9 @@ class Matcher:
         self.words = [np.array([self.ids[w] for w in words], np.int32) for _, words in known]
         self.limit = [int(MAX_EDITS * len(w)) for w in self.words]
         self.indexes = []
-        for spec in SPECS:
-            own = {n: w for n, w in enumerate(self.words) if spec.least <= len(w) <= spec.most}
-            self.indexes.append(Index(own, len(vocabulary), spec, seed))
+        for run in sorted({run_of(len(w)) for w in self.words}):
+            own = {n: w for n, w in enumerate(self.words) if run_of(len(w)) == run}
+            self.indexes.append(Index(own, len(vocabulary), spec_of(run), seed))
         self.masks = []
         for words in self.words:
             mask: dict[int, int] = {}

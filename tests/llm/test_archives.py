@@ -91,6 +91,23 @@ def test_leaks_against_brute_force(spark, short):
     assert found <= truth and len(found) >= 0.95 * len(truth) and len(truth) >= 70
 
 
+@pytest.mark.parametrize("kinds", ["s", "sid", "even"])
+def test_recall_by_item_length_among_unknown_words(kinds):
+    """Copies with as many edits as are allowed, at random or evenly placed, and words of no item around them."""
+    for n in (5, 6, 9, 10, 11, 12, 13, 14, 15, 16, 20, 30, 50):
+        random.seed(n)
+        bench = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i in range(150)]
+        texts = []
+        for i, text in bench:
+            words, k = text.split(), n // 5
+            at = [(j + 1) * (n + 1) // (k + 1) - 1 for j in range(k)] if kinds == "even" else random.sample(range(n), k)
+            for p in sorted(at, reverse=True):
+                words[p : p + 1] = {"s": ["zz"], "i": [words[p], "zz"], "d": []}["s" if kinds == "even" else random.choice(kinds)]
+            texts.append(" ".join([*(f"u{i}b{j}" for j in range(20)), *words, *(f"u{i}a{j}" for j in range(20))]))
+        found = list(decontam.Matcher(bench).matches(texts))
+        assert sum(i in got for i, got in enumerate(found)) >= 0.99 * len(bench), n
+
+
 def test_edit_distance_of_stretches():
     random.seed(9)
     matcher = decontam.Matcher([(1, "a b c d e f g")])
