@@ -227,9 +227,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, with all their columns."""
+    """The rows of ``docs`` whose language is identified, with all their columns.
+
+    Where there is nothing to learn from, all rows with a letter stay.
+    """
     keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_row_key"), F.col("text"))
     model = train(docs.filter(~held_out(F.col("doc_id"))))
+    if not model.families:
+        model = Model(["any"], {"any": ["any"]}, {}, {"any": {}})
     found = predict(keyed, model, keep=("doc_id", "_row_key")).filter(F.col("lang_pred") == UNKNOWN)
     gone = materialize(found.select(F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")), "rejected")
     rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import sentencepiece as library
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from cellwise.llm import html_text, langid, packing, pii, sentencepiece, wordpiece
@@ -45,6 +46,14 @@ def test_language_of_messy_rows(messy, empty, spark):
     assert langid.family("de") == "germanic" and langid.family("xx") == "xx"
 
 
+def test_unlabelled_rows_pass_the_stage(spark):
+    """Without any label to learn from, only rows without a letter go."""
+    rows = [(1, "hello there", None), (2, "12 34", None), (None, "ÜBER", None), (3, None, None), (4, "", None)]
+    assert {r["doc_id"] for r in langid.keep_identified(docs_of(spark, rows)).collect()} == {1, None}
+    held = [i for i in range(1, 60) if spark.range(1).select(langid.held_out(F.lit(i))).first()[0]][:2]
+    assert held and langid.keep_identified(docs_of(spark, [(i, f"text {i}", "en") for i in held])).count() == len(held)
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
