@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts are compared as lower-case words without punctuation around them. An item
+Texts are compared as lower-case words without punctuation around them; in scripts
+that don't part words by spaces each character is a word. An item
 leaks into a document if some stretch of the document's words is within
 ``floor(MAX_EDITS * words of the item)`` word edits (insert, delete, replace) of it.
 
@@ -26,8 +27,8 @@ and broadcast, so its size is bounded whatever the benchmark's is, and documents
 are read once a block. Nothing else of the documents leaves the executors but the
 matches. Recall is measured against brute force in the tests.
 
-Defined results: null and empty texts or items match nothing; items of fewer than
-MIN_WORDS words are too short to tell a leak and match nothing. Items with equal
+Defined results: null and empty texts or items match nothing. Items of fewer than
+five words allow no edit and match where their words occur in a row. Items with equal
 texts are all reported. Repeated documents are reported each. Empty tables give an
 empty result. Columns other than ``doc_id``, ``text`` and ``item_id`` are ignored,
 whatever their names.
@@ -50,7 +51,6 @@ from pyspark.sql import functions as F
 from cellwise.llm.common import materialize, packed, table
 
 MAX_EDITS = 0.2
-MIN_WORDS = 5
 BLOCK_WORDS = 200_000
 SEED = 20240101
 
@@ -95,7 +95,13 @@ VOID = 0
 GAP, GROUP_WORDS = 24, 200_000
 #: Candidates listed at a time.
 LISTED = 1 << 20
-_WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+#: Han, kana, Thai, Lao, Myanmar and Khmer, which don't part words by spaces.
+UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17e0-\u17e9"
+    "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\U00020000-\U0003ffff"
+)
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}](?:[^\s{UNSPACED}]*[^\W_{UNSPACED}])?")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -198,7 +204,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], seed: int = SEED):
         known = [(i, words_of(t)) for i, t in items]
-        known = [(i, w) for i, w in known if len(w) >= MIN_WORDS]
+        known = [(i, w) for i, w in known if w]
         vocabulary = sorted({w for _, words in known for w in words})
         self.ids = {w: n + 1 for n, w in enumerate(vocabulary)}  # 0: a word of no item
         self.numbers = [i for i, _ in known]
@@ -284,7 +290,8 @@ class Blocks:
 def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[Blocks, DataFrame]:
     """Blocks of distinct item texts, and ``n, item_id`` for every item."""
     rows = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.select("text").distinct().withColumn("size", F.size(F.split("text", r"\s+")))
+    unspaced = F.length(F.regexp_replace("text", f"[^{UNSPACED}]+", ""))
+    texts = rows.select("text").distinct().withColumn("size", F.size(F.split("text", r"\s+")) + unspaced)
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("n"), "text", "size"), "items")
     total = texts.agg(F.sum("size")).first()[0]
     # Dealt in lanes that are filled side by side; one item alone may be longer than a block.

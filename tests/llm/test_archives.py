@@ -134,6 +134,15 @@ def test_leaks_of_messy_rows(spark, messy, empty):
     assert decontam.find_leaks(empty, frame).count() == 0 and decontam.find_leaks(messy, frame.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_and_unspaced_scripts(spark):
+    han, thai = "地球は太陽の周りを一年かけて回る惑星である", "ประเทศไทยมีเมืองหลวงชื่อกรุงเทพมหานคร"
+    frame = spark.createDataFrame([(1, "Zurich"), (2, "forty two grams"), (3, han), (4, thai)], "item_id bigint, text string")
+    docs = [(1, "It is in zurich, he said", None), (2, "Zurichs forty or two grams", None), (3, "just forty-two, forty two grams.", None),
+            (4, "問題：" + han.replace("太陽", "大陽") + "。はい", None), (5, "ครับ" + thai + "ครับ", None), (6, "月は地球の周りを回る", None)]
+    found = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.find_leaks(docs_of(spark, docs), frame).collect()}
+    assert found == {(1, 1, 0), (3, 2, 0), (4, 3, 1), (5, 4, 0)}
+
+
 def test_blocks_give_the_same_leaks(spark, monkeypatch):
     bench, _ = items(spark)
     docs = docs_of(spark, [(i, "before it " + t + " after", None) for i, t in bench])
