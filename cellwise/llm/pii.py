@@ -2,8 +2,10 @@
 
 Base entities (e-mail addresses, IP addresses, card and phone numbers) are found
 by pattern and check sum. They seed a bootstrap: every run of tokens that holds a
-digit or an at sign is a possible identifier; its neighbouring words and shape
-make its lexical patterns, and occurrences of both form a bipartite graph of
+digit or an at sign is a possible identifier; a neighbouring word with its exact
+shape, and the same word with its form only (at sign, digits without letters or mixed,
+and the length by powers of two), make its lexical patterns, so a sure context also
+discovers shapes that no seed has. Occurrences of both form a bipartite graph of
 patterns and instances. A round scores patterns by the instances they surround
 and then instances by their patterns:
 
@@ -121,6 +123,12 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(present, spans).otherwise(empty)
 
 
+def _form(value: Column) -> Column:
+    """What is left of a shape: its class of characters and of length. It begins with a space, as no shape does."""
+    kind = F.when(value.contains("@"), "at").when(value.rlike(r"\p{L}"), "mixed").otherwise("digits")
+    return F.concat(F.lit(" "), kind, F.floor(F.log2(F.greatest(F.length(value), F.lit(1)))).cast("string"))
+
+
 def base_rows(docs: DataFrame) -> DataFrame:
     """``row, doc_id, base, fillers`` for each row of ``docs``; written once.
 
@@ -151,6 +159,7 @@ def base_rows(docs: DataFrame) -> DataFrame:
             left.alias("left"),
             right.alias("right"),
             F.left(shape, F.lit(24)).alias("shape"),
+            _form(value).alias("form"),
         )
 
     fillers = F.filter(F.transform(maybe, filler), lambda f: f["end"] > f["start"])
@@ -178,12 +187,13 @@ def discover(
         F.struct(F.lit("L").alias("side"), F.col("left").alias("word")),
         F.struct(F.lit("R").alias("side"), F.col("right").alias("word")),
     )
-    beside = places.select("row", "start", "end", "value", "k", "shape", F.explode(sides).alias("s"))
-    beside = beside.select("row", "start", "end", "value", "k", "shape", "s.side", "s.word").filter("word <> ''")
+    beside = places.select("row", "start", "end", "value", "k", "shape", "form", F.explode(sides).alias("s"))
+    beside = beside.select("row", "start", "end", "value", "k", "shape", "form", "s.side", "s.word").filter("word <> ''")
     beside = materialize(beside, "places")
-    pattern, instance = ["side", "word", "shape"], ["value", "shape"]
+    shaped = beside.withColumn("shape", F.explode(F.array("shape", "form"))).drop("form")
+    pattern, instance = ["side", "word", "shape"], ["value"]
 
-    edges = beside.groupBy(*pattern, "value").agg(F.min("k").alias("k"))
+    edges = shaped.groupBy(*pattern, "value").agg(F.min("k").alias("k"))
     seeded = edges.filter("k IS NOT NULL").groupBy(*pattern).agg(F.count(F.lit(1)).alias("seeds"))
     strong = materialize(seeded.filter(F.col("seeds") >= min_seeds).select(*pattern), "patterns")
     if strong.isEmpty():
@@ -217,7 +227,7 @@ def discover(
         scored = materialize(scored, "scores")
     sure = confidence.filter(F.col("confidence") >= min_confidence).select(*pattern, "kind", "confidence")
     best = (
-        beside.filter("k IS NULL")
+        shaped.filter("k IS NULL")
         .join(sure, pattern)
         .groupBy("row", "start", "end")
         .agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("b"))

@@ -123,6 +123,18 @@ def test_bootstrap_discovers_failing_numbers_in_a_sure_context(spark):
     assert not found[91]["added"]
 
 
+def test_bootstrap_discovers_new_forms_in_a_sure_context(spark):
+    """An address without a dot and a phone without a plus sign, of shapes that no seed has."""
+    rows = [(i, f"please mail: user{i}@host.example.org and the rest of it", None) for i in range(10)]
+    rows += [(20 + i, f"then call: +49 30 12345{i} and the rest of it", None) for i in range(10)]
+    rows += [(50, "please mail: administrator@intranet and so on", None), (51, "then call: 030/1234567 and so on", None)]
+    rows += [(52, "see administrator@elsewhere and so on", None), (53, "see 030/7654321 and so on", None)]
+    rows += [(100 + i, "this and that and so on", None) for i in range(40)]
+    found = {r["doc_id"]: [(s["start"], s["k"], s["end"]) for s in r["added"]] for r in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert found[50] == [(13, 0, 35)] and found[51] == [(11, 3, 22)]
+    assert not any(v for i, v in found.items() if i not in (50, 51))
+
+
 def test_html_rendering():
     cases = {
         "<ul><li>a<li>b<ol start=3><li>x</ol></ul>t": "* a\n* b\n  3. x\n\nt",
