@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,20 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of this machine only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a folder of this machine for the
+    rest of the session; on a cluster, whose executors would each write to their
+    own disks, a RuntimeError is raised.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cellwise-")
+        context = spark.sparkContext
+        kept = context._jsc.sc().getCheckpointDir()
+        if kept.isDefined():
+            found = kept.get()
+        elif re.match(r"local(\[|$)", context.master):
+            found = "file://" + tempfile.mkdtemp(prefix="cellwise-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted when the driver's JVM ends.
+
+    Results are lazy, so what they read can't go earlier; ``discard`` of a frame
+    that nothing reads any more does it at once.
+    """
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    return path
+
+
+def staged(df: DataFrame, tag: str = "staged") -> DataFrame:
     """The rows, written once as Parquet and read from there.
 
-    For tables that several branches of a plan read after costly expressions: each
-    branch would compute them again, and the optimiser would copy them into filters.
+    Cuts the lineage as ``checkpoint()`` does, in columnar form, and survives the
+    loss of any executor. For tables that several branches of a plan read after
+    costly expressions: each branch would compute them again, and the optimiser
+    would copy them into filters.
     """
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
