@@ -36,10 +36,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     Results are lazy, so what they read can't go earlier; ``discard`` of a frame
     that nothing reads any more does it at once.
     """
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
-    return path
+    folder = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(path)  # what doesn't exist can't be marked for deletion
+    system.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def staged(df: DataFrame, tag: str = "staged") -> DataFrame:
