@@ -1,46 +1,49 @@
-"""Shared plumbing: tables, the shared folder, and cutting lineage."""
+"""Shared plumbing: tables, row keys, joins that hot keys can't slow, and cutting lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellwise.sources.shared import new_path, shared_dir, staged
+
+__all__ = ["bounded", "discard", "let", "materialize", "new_path", "packed", "shared_dir", "spread_join", "table", "text_key", "without"]
+
+#: Tables of this many rows at most are broadcast, once counted; beyond, a shuffle joins them.
+BROADCAST_ROWS = 200_000
+#: A key is hot if it holds more than one in HOT_SHARE of the rows, so there are fewer hot keys than that.
+HOT_SHARE = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back."""
+    return staged(df, tag)
 
-    Only where the setting is absent (a local session) is a folder of this
-    machine taken, and the setting is then made for the rest of the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cellwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
+def bounded(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint if it has no more than ``most`` rows; a shuffle joins it otherwise."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back.
 
-    Cuts the lineage as ``checkpoint()`` does, in columnar form, and survives
-    the loss of any executor.
+def spread_join(rows: DataFrame, single: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``single``, which holds one row for each ``key`` and, in ``size``, how many ``rows`` have it.
+
+    Rows of hot keys, fewer than HOT_SHARE keys by their size, are joined where they
+    are; the others are dealt by key. Null keys match nothing. ``size`` is left out.
     """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    hot = F.col(size) * HOT_SHARE > total
+    few, many = F.broadcast(single.filter(hot).drop(size)), single.filter(~hot).drop(size)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(many, key))
 
 
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:
@@ -49,12 +52,35 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(row, *[value.alias(name) for name, value in keys.items()])
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null has a null key."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def without(docs: DataFrame, odd: DataFrame, key: Column) -> DataFrame:
+    """``docs`` but for the rows that ``odd`` names, with all their columns.
+
+    ``odd`` holds ``_id, _key, _stays``, a row for each ``doc_id`` and ``key`` of
+    which rows go: all of them, or with ``_stays`` all but one. Nulls match nulls.
+    Documents aren't shuffled where the keys can be broadcast, but for the rows of which one stays.
+    """
+    odd = materialize(odd, "odd")
+    rows = packed(docs, _doc=F.col("doc_id"), _text=key)
+    match = lambda r: rows["_doc"].eqNullSafe(r["_id"]) & rows["_text"].eqNullSafe(r["_key"])
+    small = bounded(odd)
+    left = rows.join(small, match(small), "left_anti").select("_row")
+    one = bounded(odd.filter("_stays").drop("_stays"))
+    if not odd.filter("_stays").isEmpty():
+        again = rows.join(one, match(one), "left_semi")
+        rank = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.lit(0)))
+        left = left.unionByName(again.withColumn("_again", rank).filter("_again = 1").select("_row"))
+    return left.select("_row.*")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by ``materialize`` that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(parent)
+    for folder in {f.rsplit("/data/", 1)[0] for f in df.inputFiles() if "/data/" in f}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

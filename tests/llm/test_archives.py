@@ -42,6 +42,43 @@ def test_round_trip(spark, small_splits):
     assert warc.round_trip(pages.limit(0), new_path(spark, "test")).count() == 0
 
 
+def test_odd_urls_and_repeated_ids(spark):
+    """Line ends of Unicode in a url begin no header field; a revisit is found by id and digest."""
+    odd = "http://x/\x85Content-Length: 5\u2028Content-Length: 5\rContent-Length: 5\r\n\r\nWARC/1.0\r\n ü🙂"
+    a, b = "a" * 1200, "b" * 1300
+    rows = [(1, odd, "first"), (2, odd, a), (7, "u", a), (7, "v", b), (3, "w", b), (4, None, "x" * 2000), (5, "y", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = new_path(spark, "test")
+    found = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, path).collect()}
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert found == {(1, 5, sha("first"), "response", None), (2, 1200, sha(a), "revisit", 7), (7, 1200, sha(a), "response", None),
+                     (7, 1300, sha(b), "response", None), (3, 1300, sha(b), "revisit", 7), (4, 2000, sha("x" * 2000), "response", None),
+                     (5, 0, sha(""), "response", None)}
+    urls = {r["record_id"]: r["target_uri"] for r in warc.read_archives(spark, path).collect()}
+    assert urls["<urn:page:1>"] == "http://x/%C2%85Content-Length:%205%E2%80%A8Content-Length:%205%0DContent-Length:%205%0D%0A%0D%0AWARC/1.0%0D%0A%20ü🙂"
+
+
+def test_text_ids(spark):
+    pages = spark.createDataFrame([("a b>\r\n", "u", "x" * 1000), ("b", "u", "x" * 1000)], "page_id string, url string, html string")
+    found = {(r["page_id"], r["refers_to"]) for r in warc.round_trip(pages, new_path(spark, "test")).collect()}
+    assert found == {("a b>\r\n", "b"), ("b", None)}
+
+
+def test_a_broken_chain_does_not_pass_in_silence(spark, tmp_path, small_splits):
+    record = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    good = record.format(5, "hello") * 200
+    for name, data, kept in (("whole", good, 200), ("short", good + record.format(4, "hello") + good, 201), ("headless", good[:-30], 199), ("cut", good[:-6], 200), ("junk", "junk" + good, 0)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_text(data, newline="")
+        if name == "whole":
+            assert warc.read_archives(spark, str(tmp_path / name), strict=True).count() == kept
+            continue
+        with pytest.raises(ValueError, match="bytes"):
+            warc.read_archives(spark, str(tmp_path / name), strict=True)
+        with pytest.warns(UserWarning, match="bytes"):
+            assert warc.read_archives(spark, str(tmp_path / name)).count() == kept
+
+
 def test_blocks_hold_the_payload(spark):
     pages = spark.createDataFrame([(1, "u", "<p>ü"), (2, "v", "b" + FAKE)], "page_id bigint, url string, html string")
     path = warc.write_archives(pages, new_path(spark, "test"))
