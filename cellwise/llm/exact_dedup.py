@@ -11,6 +11,10 @@ equal chunks travel once a task. A hash with one chunk is a sound identifier. If
 any hash has two chunks, the texts that hold such a hash get identifiers that
 also carry the chunk's rank among those of that hash.
 
+Groups are counted with map-side combine. A group that holds more than a thousandth
+of all rows is joined back by a broadcast of its single row, so a text that a third
+of the rows repeat is never dealt to one task.
+
 Defined results: a null text counts as empty, and an empty text has an empty
 recipe, so all null and empty texts are equal. Null ``doc_id`` sorts after every
 number; ``keep_id`` is null only if the whole group has none. Among rows that
@@ -23,12 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, packed, table
+from cellwise.llm.common import materialize, spread_join, table, without
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: A chunk ends after a full stop or a space that follows one of these letter pairs,
-#: between MIN_CHUNK and MAX_CHUNK characters from its start.
-BOUNDARY = r"(?<=(?:er|en|ed|re|st|la|es|os|do)[. ])"
+#: A chunk ends, between MIN_CHUNK and MAX_CHUNK characters from its start, after a full stop or a space that follows
+#: one of these endings of words, or after one of these characters of scripts that don't part words. They are frequent in
+#: Latin, Greek, Cyrillic, Hebrew, Arabic and Devanagari, and in Han, kana, Hangul and Thai writing.
+ENDINGS = "er en ed re st la es os do ov ka ος αι το ов на ть ия ом ים ות של ات ية من في की का है में 니다 에서 는".split()
+CHARACTERS = "的了是在のをはにกร"
+BOUNDARY = rf"(?:(?<=(?:{'|'.join(ENDINGS)})[. ])|(?<=[{CHARACTERS}]))"
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
 
@@ -49,12 +56,13 @@ def _hash(chunk: Column, bits: int) -> Column:
 
 
 def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """``doc_id, recipe, text_sha256`` for each row of ``docs``; written once."""
+    """``row, doc_id, recipe, text_sha256`` for each row of ``docs``; written once. ``row`` tells rows apart."""
     # The text is named anew so that columns of the input can't clash.
     texts = docs.select(F.col("doc_id"), normalised(F.col("text")).alias("_norm"))
     cut = texts.select("doc_id", "_norm", chunks(F.col("_norm")).alias("_chunks"))
     plain = materialize(
         cut.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.transform("_chunks", lambda c: _hash(c, hash_bits)).alias("recipe"),
             F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
@@ -81,7 +89,7 @@ def _disambiguated(docs: DataFrame, known: DataFrame, shared: DataFrame, hash_bi
     )
     rows = materialize(
         docs.select("doc_id", normalised(F.col("text")).alias("_norm")).select(
-            F.expr("uuid()").alias("row"), "doc_id", "_norm"
+            F.monotonically_increasing_id().alias("row"), "doc_id", "_norm"
         ),
         "rows",
     )
@@ -95,6 +103,7 @@ def _disambiguated(docs: DataFrame, known: DataFrame, shared: DataFrame, hash_bi
     )
     return materialize(
         rows.join(placed, "row", "left").select(
+            "row",
             "doc_id",
             F.coalesce("recipe", F.array().cast("array<bigint>")).alias("recipe"),
             F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
@@ -104,31 +113,27 @@ def _disambiguated(docs: DataFrame, known: DataFrame, shared: DataFrame, hash_bi
 
 
 def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """One row per row of ``docs``: its group of equal texts and whether it stays.
-
-    Both aggregations combine before the shuffle, so a text that a third of all
-    rows repeat costs one row a task; the join back can be split where skewed.
-    """
+    """One row per row of ``docs``: its group of equal texts and whether it stays."""
     rows = recipes(docs, hash_bits)
-    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    same = Window.partitionBy("recipe", "doc_id").orderBy("text_sha256")
-    numbered = rows.withColumn("_copy", F.row_number().over(same))
-    return numbered.join(groups, "recipe").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
-        "text_sha256",
+    # The least doc_id's row stays, of several with it any one; without any id, the first row.
+    groups = rows.groupBy("recipe").agg(
+        F.min("doc_id").alias("keep_id"),
+        F.count(F.lit(1)).alias("group_size"),
+        F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("_keep"),
+        F.count(F.lit(1)).alias("_size"),
+    )
+    groups = materialize(groups, "groups")
+    return spread_join(rows, groups, "recipe", "_size", rows.count()).select(
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("_keep")).alias("kept"), "text_sha256"
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = packed(docs, _doc=F.col("doc_id"), _text=F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    left = rows.join(kept, rows["_doc"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_sha"]), "left_semi")
-    again = Window.partitionBy("_doc", "_text").orderBy(F.lit(0))
-    return left.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select("_row.*")
+    """The rows of ``docs`` that stay, with all their columns; documents are shuffled only if very many go."""
+    copies = exact_groups(docs).filter("group_size > 1")
+    keys = copies.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("n"))
+    odd = keys.filter("n > 1 OR NOT _stays").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), "_stays")
+    return without(docs, odd, F.sha2(normalised(F.col("text")).cast("binary"), 256))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,10 +33,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, packed, table
+from cellwise.llm.common import materialize, spread_join, table, text_key, without
 from cellwise.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -67,7 +67,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, text_key, fp`` for each row; ``text_key`` tells texts of one ``doc_id`` apart."""
-    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
+    rows = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, fp bigint")
 
 
 def _signed(mask: int) -> int:
@@ -172,12 +172,14 @@ def near_groups(rows: DataFrame, distance: int = DISTANCE, small: int = SMALL, l
     ``root`` is the least fingerprint of the class, so it alone tells classes apart:
     ``component_id`` is null for each class without ids and shared where ids repeat.
     """
-    single = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    single = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fps")
+    total = single.agg(F.sum("n"), F.count("n")).first()
     roots = components(links(single.select("fp"), distance, small, large)).withColumnRenamed("node", "fp")
-    known = single.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = known.join(lowest, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp")
+    known = single.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    known = materialize(known, "known")
+    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    classes = spread_join(known, lowest, "root", "fps", total[1] or 0).select("fp", "root", "component_id", "n")
+    return spread_join(rows, materialize(classes, "classes"), "fp", "n", total[0] or 0)
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -190,15 +192,22 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class stays, with all its columns: one with the class's least ``doc_id`` (null only without any)."""
-    classes = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("text_key"))
-    kept = classes.withColumn("_rank", rank).filter("_rank = 1")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))
-    left = rows.join(kept, rows["_doc"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_key"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.lit(0)))
-    return left.withColumn("_again", again).filter("_again = 1").select("_row.*")
+    """One row of each class stays, with all its columns: one with the class's least ``doc_id`` (null only without any).
+
+    Classes are told apart by their root, so equal and null ids are no matter.
+    """
+    found = near_classes(docs)
+    sizes = found.groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.xxhash64("text_key"))).alias("first_key"),
+        F.count(F.lit(1)).alias("size"),
+    )
+    sizes = materialize(sizes.filter("n > 1"), "sizes")
+    copies = spread_join(found.drop("fp"), sizes, "root", "size", docs.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.xxhash64("text_key") == F.col("first_key"))
+    keys = copies.groupBy("doc_id", "text_key").agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("n"))
+    odd = keys.filter("n > 1 OR NOT _stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_stays")
+    return without(docs, odd, text_key(F.col("text")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
