@@ -6,9 +6,10 @@ One-versus-one linear SVMs decide among families; within the family that wins,
 one-versus-one linear SVMs separate its languages by votes and margins.
 
 The training sample is bounded and documented: at most PER_LANGUAGE rows of each
-language and MOST_ROWS of all, those with the least hash of ``doc_id`` and text; everything else
-(features, prediction) covers every row and whole texts. The models have a fixed
-size: (families + languages)^2 / 2 vectors of DIM weights.
+language and MOST_ROWS of all, those with the least hash of ``doc_id`` and text, of the
+MOST_LANGUAGES languages with most rows; everything else (features, prediction)
+covers every row and whole texts. The models have a bounded size: at most
+MOST_LANGUAGES^2 / 2 vectors of DIM weights.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
 and for every text where there is nothing to learn from. Rows without a language
@@ -20,17 +21,18 @@ An empty table gives an empty result. Columns other than ``doc_id``, ``text`` an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from cellwise.llm.common import materialize, packed, table
+from cellwise.llm.common import packed, table
 
 # Language codes by family.
 FAMILIES = {
@@ -46,11 +48,15 @@ DIM = 2048
 PER_LANGUAGE = 500
 #: Rows of the training sample altogether, which bounds what comes to the driver.
 MOST_ROWS = 20_000
+#: Languages that are learnt, those with most rows.
+MOST_LANGUAGES = 100
 UNKNOWN = "und"
 #: Code points hashed at a time, so that a text of any length needs bounded memory.
 SLICE = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: What makes a letter, here and in the JVM: the Unicode categories Lu, Ll, Lt, Lm and Lo.
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 
 
 def family(lang: str) -> str:
@@ -158,7 +164,7 @@ def training_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     The share to take is read from the counts by language first, so only about
     twice the sample is ever ranked.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "text", "lang")
     rank = F.xxhash64("doc_id", "text")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     part = rank.bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
@@ -169,11 +175,9 @@ def training_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     return likely.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).drop("_rank", "n")
 
 
-def _few(counts: DataFrame, most: int = 10_000) -> DataFrame:
-    """The counts as a local table, once their number is known to be small."""
-    found = counts.orderBy("lang").take(most + 1)
-    if len(found) > most:
-        raise ValueError(f"more than {most} languages")
+def _few(counts: DataFrame, most: int = MOST_LANGUAGES) -> DataFrame:
+    """The counts of the languages with most rows, as a local table."""
+    found = counts.orderBy(F.desc("n"), "lang").take(most)
     return counts.sparkSession.createDataFrame(found, counts.schema)
 
 
@@ -196,24 +200,22 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM)
 
 def predict(docs: DataFrame, model: Model, dim: int = DIM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of each row, then ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the number of languages
-    rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_whole_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text").alias("_whole_text"))
+    return _predicted(rows, model, lambda b: b.column(1), dim).select("_row.*", "lang_pred", "score")
+
+
+def _predicted(rows: DataFrame, model: Model, texts, dim: int = DIM) -> DataFrame:
+    """``_row, lang_pred, score`` from rows that begin with ``_row``; ``texts`` finds the texts in a batch."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            found = [shared.value.predict(features(t.as_py(), dim)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i) for i in range(len(keep))],
-                    pa.array([a for a, _ in found], pa.string()),
-                    pa.array([b for _, b in found], pa.float64()),
-                ],
-                [*keep, "lang_pred", "score"],
-            )
+            found = [shared.value.predict(features(t.as_py(), dim)) for t in texts(batch)]
+            labels, scores = pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), labels, scores], ["_row", "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    kinds = StructType([rows.schema["_row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, kinds)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,19 +229,21 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, with all their columns.
+    """The rows of ``docs`` whose language is identified, in ``lang`` the language that is predicted.
 
-    Where there is nothing to learn from, all rows with a letter stay.
+    All other columns are as they were. Where there is nothing to learn from, all rows with a letter
+    stay and keep their ``lang``. One pass; nothing is shuffled but the training sample.
     """
-    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_row_key"), F.col("text"))
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    if not model.families:
+    learnt = bool(model.families)
+    if not learnt:
         model = Model(["any"], {"any": ["any"]}, {}, {"any": {}})
-    found = predict(keyed, model, keep=("doc_id", "_row_key")).filter(F.col("lang_pred") == UNKNOWN)
-    gone = materialize(found.select(F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")), "rejected")
-    rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))
-    match = rows["_doc"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_key"])
-    return rows.join(gone, match, "left_anti").select("_row.*")
+    place = docs.columns.index("text")
+    found = _predicted(packed(docs), model, lambda b: b.column(0).field(place)).filter(F.col("lang_pred") != UNKNOWN)
+    of = {c: F.col("_row").getField(c).alias(c) for c in docs.columns}
+    if learnt:
+        of["lang"] = F.col("lang_pred").alias("lang")
+    return found.select(*of.values())
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

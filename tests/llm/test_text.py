@@ -2,6 +2,8 @@
 
 import random
 import re
+import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -39,13 +41,62 @@ def test_language_of_messy_rows(messy, empty, spark):
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (1, 2, 3, 8))
     assert by[9]["lang_pred"] in ("en", "de", "fr")
     kept = langid.keep_identified(messy)
-    assert kept.columns == messy.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 9, 10, None}
+    rows = kept.collect()
+    assert kept.schema == messy.schema and {r["doc_id"] for r in rows} == {4, 5, 6, 7, 9, 10, None}
+    said = {(r["doc_id"], r["lang_pred"]) for r in found}
+    assert all((r["doc_id"], r["lang"]) in said and r["_row"] == "x" and r["_again"] == 4 for r in rows)
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
     unlabelled = langid.identify(docs_of(spark, [(1, "hello", None)])).first()
     assert unlabelled["lang_pred"] == "und"
     assert langid.family("de") == "germanic" and langid.family("xx") == "xx"
 
 
+def test_letters_are_those_of_unicode(spark):
+    """Superscripts and fractions are no letters; ideographs, modifiers and letters beyond the BMP are."""
+    texts = ["²", "½ 12", "١٢", "Ⅷ", "a", "ª", "ʰ", "中", "𝒳", "_", "é", "ß1"]
+    for t in texts:
+        assert (langid.features(t) is not None) == unicodedata.category(t[0]).startswith("L"), t
+    rows = docs_of(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    java = {r["text"] for r in rows.filter(F.col("text").rlike(langid.LETTER)).collect()}
+    assert java == {t for t in texts if langid.features(t) is not None}
+
+
+def test_held_out_rows_are_not_learnt_from(spark):
+    rows = [(i, f"{'ja nein und' if i % 2 else 'yes no and'} {i}", "de" if i % 2 else "en") for i in range(200)]
+    ids = docs_of(spark, rows).select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in ids)
+    odd = {r["doc_id"] for r in ids if r["h"]}
+    # With the labels of held-out rows turned round, nothing changes.
+    turned = [(i, t, {"de": "en", "en": "de"}[v] if i in odd else v) for i, t, v in rows]
+    one, other = (sorted(map(tuple, langid.identify(docs_of(spark, x)).collect())) for x in (rows, turned))
+    assert one == other and all(v == dict((i, g) for i, _, g in rows)[i] for i, v, _ in one)
+
+
+def test_prediction_follows_the_models_voted_one_by_one():
+    """Votes of all pairs, family first, against a plain loop."""
+    random.seed(5)
+    langs = ["en", "de", "nl", "fr", "es", "it", "ru"]
+    x = np.array([langid.features("".join(random.choice("abcdefgh"[j:] + " ") for _ in range(200))) for _ in range(60) for j in range(7)])
+    model = langid.fit(x, [langs[j] for _ in range(60) for j in range(7)])
+    for v in x[:70]:
+        def winner(n, pairs):
+            score = [[0, 0.0] for _ in range(n)]
+            for (i, j), w in pairs.items():
+                m = float(np.dot(v, w[:-1]) + w[-1])
+                score[i if m >= 0 else j][0] += 1
+                score[i][1] += m
+                score[j][1] -= m
+            return max(range(n), key=lambda k: (score[k][0], score[k][1], -k))
+        f = model.families[winner(len(model.families), model.among)]
+        assert model.predict(v)[0] == model.members[f][winner(len(model.members[f]), model.within[f])]
+
+
+def test_many_languages_are_learnt_up_to_a_bound(spark, monkeypatch):
+    rows = docs_of(spark, [(i, f"text {i % 7}", f"l{i % 7}") for i in range(70)])
+    found = langid._few(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), 3)
+    assert [r["lang"] for r in found.collect()] == ["l0", "l1", "l2"]
+
+
 def test_unlabelled_rows_pass_the_stage(spark):
     """Without any label to learn from, only rows without a letter go."""
     rows = [(1, "hello there", None), (2, "12 34", None), (None, "ÜBER", None), (3, None, None), (4, "", None)]
