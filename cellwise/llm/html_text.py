@@ -78,12 +78,15 @@ MAX_COLUMN = 60
 #: What is nested deeper becomes a child of the element at this depth, as in browsers.
 MAX_DEPTH = 512
 
+# A quote opens a value only behind an equals sign, and an unclosed one runs to the end of the file.
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?:[^\s>\"'][^\s>]*+)?+"
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+", re.S)
+_TAG_END = rf"((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE}))?+)*+)(?:>|\Z)"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|</[^>]*+(?:>|\Z)|[^<]++|<",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+){_TAG_END}|</[^>]*+(?:>|\Z)|[^<]++|<",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
@@ -102,7 +105,9 @@ class Node:
 def _attributes(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(source):
-        value = m[2] or m[3] or m[4] or ""
+        value = m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:].removesuffix(value[0])
         found.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
     return found
 
