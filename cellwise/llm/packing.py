@@ -4,7 +4,13 @@ Texts are encoded by byte-level BPE with the installed library; ids beyond a row
 is lost. Segments are packed into rows of LENGTH ids, the longest first, each into
 the row with the least room that still holds it. Rooms are leaves of a segment
 tree over capacities, so the search takes log2(LENGTH) steps. Each task packs what
-it reads in batches of BATCH_IDS ids: nothing is shuffled and memory is bounded.
+it reads in batches of BATCH_IDS ids: nothing is shuffled and memory is bounded. So the
+packing depends on how the input is split, but not on anything else; each batch
+wastes little more than its last row (README gives the share of padding).
+
+Ids are those of the library on the whole text. Only a single run of more than PART
+characters (of letters, digits, symbols or white space alone) is encoded in stretches,
+which decode to the same text but may hold other ids where they meet.
 
 A packed row has ``pack_id``; ``ids``, LENGTH little-endian numbers of ``id_bytes``
 bytes, padded with ``pad_id``; ``cu_seqlens``, the cumulative segment lengths from 0
@@ -27,6 +33,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +44,7 @@ from cellwise.llm.common import table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern of words of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer texts are encoded in parts that begin with a space between words, which no token crosses.
+#: Longer texts are encoded in parts of once to twice so many characters, cut where no token crosses.
 PART = 100_000
 LENGTH = 2048
 BATCH_IDS = 1 << 22
@@ -45,6 +52,23 @@ BATCH_IDS = 1 << 22
 ROWS = 512
 
 _WORDS = re.compile(r"[^\W\d_] (?=[^\W\d_])")
+_PIECES = regex.compile(PATTERN)
+
+
+def _part_end(text: str, at: int) -> int:
+    """Where a part that begins at ``at`` ends."""
+    most = at + 2 * PART
+    if len(text) <= most:
+        return len(text)
+    cut = _WORDS.search(text, at + PART, most)
+    if cut:
+        return cut.start() + 1
+    last = at
+    for piece in _PIECES.finditer(text, at, most):
+        # A piece at the end of the stretch may go on, and white space depends on what follows it.
+        if piece.end() < most - 3 and not text[piece.end() - 1].isspace():
+            last = piece.end()
+    return last if last > at else most
 
 
 class Vocabulary:
@@ -67,8 +91,7 @@ class Vocabulary:
             return np.zeros(0, np.uint32)
         found, at = [], 0
         while at < len(text):
-            cut = _WORDS.search(text, at + PART)
-            end = cut.start() + 1 if cut else len(text)
+            end = _part_end(text, at)
             found.append(self.encoding.encode_to_numpy(text[at:end]))
             at = end
         return found[0] if len(found) == 1 else np.concatenate(found)
@@ -211,5 +234,54 @@ def unpack(rows: list) -> dict:
     return {d: np.concatenate([x for _, x in sorted(p, key=lambda x: x[0])]) for d, p in parts.items()}
 
 
+def write_matrices(rows: DataFrame, path: str, rows_a_matrix: int = ROWS) -> None:
+    """Write packed rows as matrices of up to ``rows_a_matrix`` rows, Parquet files under ``path``.
+
+    A matrix has ``n_rows, width, id_bytes``, ``ids`` (all rows one after another,
+    little-endian), ``cu_seqlens`` (cumulative segment lengths over the whole matrix,
+    padding being a segment too), ``resets`` (places in the matrix at which positions
+    start again), and ``pack_ids, doc_ids, starts`` by row. No rows give no matrices.
+    """
+    kind = rows.schema["doc_ids"].dataType.simpleString()
+    schema = (
+        "n_rows int, width int, id_bytes int, ids binary, cu_seqlens array<bigint>, resets array<bigint>, "
+        f"pack_ids array<string>, doc_ids array<{kind}>, starts array<array<bigint>>"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_a_matrix):
+                part = batch.slice(at, rows_a_matrix)
+                data = {n: part.column(n).to_pylist() for n in ("ids", "cu_seqlens", "id_bytes", "pack_id", "starts")}
+                width = len(data["ids"][0]) // data["id_bytes"][0]
+                cumulative, resets = [0], []
+                for i, lengths in enumerate(data["cu_seqlens"]):
+                    ends = lengths[1:] + ([width] if lengths[-1] < width else [])
+                    resets += [i * width + s for s in [0, *ends[:-1]]]
+                    cumulative += [i * width + e for e in ends]
+                one = lambda v, t: pa.array([v], t)
+                doc_ids = part.column("doc_ids")
+                arrays = [
+                    one(part.num_rows, pa.int32()), one(width, pa.int32()), one(data["id_bytes"][0], pa.int32()),
+                    one(b"".join(data["ids"]), pa.binary()), one(cumulative, pa.list_(pa.int64())), one(resets, pa.list_(pa.int64())),
+                    one(data["pack_id"], pa.list_(pa.string())), one(doc_ids.to_pylist(), pa.list_(doc_ids.type)),
+                    one(data["starts"], pa.list_(pa.list_(pa.int64()))),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
+
+    names = ("pack_id", "id_bytes", "ids", "cu_seqlens", "doc_ids", "starts")
+    rows.select(*names).mapInArrow(run, schema).write.mode("overwrite").parquet(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_matrices`` wrote; ``matrix`` makes a numpy matrix of a row."""
+    return spark.read.parquet(path)
+
+
+def matrix(row) -> np.ndarray:
+    """The id matrix of a row of ``read_matrices``."""
+    return np.frombuffer(row["ids"], f"<u{row['id_bytes']}").reshape(row["n_rows"], row["width"])
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Vocabulary(ranks_path))

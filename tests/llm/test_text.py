@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -207,6 +208,102 @@ def test_html_rendering():
     assert deep.strip() == "x"
 
 
+def test_html_attributes_never_show():
+    """Quotes open values behind an equals sign only; an unclosed one hides the rest, as in browsers."""
+    cases = {
+        "<p class=it's>hello</p>": "hello", "<p it's>hello": "hello", "<p a\"b>c</p>": "c", "<a href='x>text</a> more": "", "<a href=\"x>text": "",
+        "<p title='a>b'>c": "c", "<p title=\"a>b\"id=x>c": "c", "<p title= 'a>b' >c": "c", "<p =\"x>c": "c", "<p a=>c": "c", "<p a= >c": "c",
+        "<p a=b'c>d": "d", "<br/>x<img alt='>'/>y": "xy", "<p/class='a>b'/>c": "c", "<p hidden=''>c": "", "<p a=b/hidden>c": "c", "<p a/hidden>c": "",
+        "x<p": "x", "x<p a": "x", "a < b > c": "a < b > c", "</p a='>'>x": "x", "<p a = b>c": "c",
+    }
+    for source, text in cases.items():
+        assert html_text.render(source)[1].replace("  ", " ") == text, source
+
+
+def test_html_of_long_pages():
+    """Long runs of any kind take time in proportion, and no text is lost."""
+    n = 200_000
+    for source, text in (("<" * n, "<" * n), ("<p a='" + "x" * n, ""), ("a" * n, "a" * n), ("<p " + "a=b " * n + ">z", "z"), ("<!--" * n, ""),
+                         ("<p " + "'" * n + ">z", "z"), ("<p a" + " " * n + ">z", "z"), ("&" * n, "&" * n), ("<b>" * 20_000 + "z", "z")):
+        start = time.perf_counter()
+        assert html_text.render(source)[1] == text
+        assert time.perf_counter() - start < 10, source[:9]
+
+
+def tags(source):
+    """The start tags of a source by the states of the HTML standard, one character after another."""
+    i, out = 0, []
+    while i < len(source):
+        closing = source[i : i + 2] == "</"
+        if closing and i + 2 < len(source) and not source[i + 2].isalpha():  # a comment
+            i = source.find(">", i) + 1 or len(source)
+            continue
+        if source[i] != "<" or i + 1 + closing >= len(source) or not source[i + 1 + closing].isalpha():
+            i += 1
+            continue
+        j = i = i + closing
+        j += 1
+        while j < len(source) and source[j] not in " />":
+            j += 1
+        name, attributes, state, key, value = source[i + 1 : j], [], "before", "", ""
+        while j < len(source):
+            c = source[j]
+            if state == "before":
+                if c == ">":
+                    break
+                if c not in " /":
+                    state, key = "name", c
+            elif state == "name":
+                if c in " />":
+                    attributes.append((key, ""))
+                    state, j = ("after" if c == " " else "before"), j - (c != " ")
+                elif c == "=":
+                    state = "value"
+                else:
+                    key += c
+            elif state == "after":
+                if c == "=":
+                    attributes.pop()
+                    state = "value"
+                elif c != " ":
+                    state, j = "before", j - 1
+            elif state == "value":
+                if c in "'\"":
+                    state, value = c, ""
+                elif c == ">":
+                    attributes.append((key, ""))
+                    break
+                elif c != " ":
+                    state, value = "bare", c
+            elif state == "bare":
+                if c in " >":
+                    attributes.append((key, value))
+                    state, j = "before", j - 1
+                else:
+                    value += c
+            elif c == state:
+                attributes.append((key, value))
+                state = "before"
+            else:
+                value += c
+            j += 1
+        else:
+            return out
+        if not closing:
+            out.append((name, dict(reversed(attributes))))
+        i = j + 1
+    return out
+
+
+def test_start_tags_against_the_states_of_the_standard():
+    random.seed(11)
+    for _ in range(4000):
+        source = "".join(random.choice("<ab='\" />=x") for _ in range(random.randint(3, 25)))
+        found = [(m[2], html_text._attributes(m[3])) for m in html_text._TOKEN.finditer(source) if m[2] and not m[1] and m[0].endswith(">")]
+        expected = [(n, {k.lower(): v for k, v in a.items()}) for n, a in tags(source)]
+        assert found[: len(expected)] == expected and len(found) - len(expected) in (0, 1), source
+
+
 def test_html_of_a_table(spark):
     pages = spark.createDataFrame([(1, None, 3), (2, "<p>x", 4), (2, "<p>x", 4)], "page_id bigint, html string, text int")
     assert sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect()) == [(1, ""), (2, "x"), (2, "x")]
@@ -298,6 +395,46 @@ def test_best_fit_against_brute_force():
         assert sorted(length - sum(lengths[i] for i in r) for r in rows) == sorted(room)
 
 
+def test_long_texts_are_cut_where_no_token_crosses(monkeypatch):
+    vocabulary = packing.Vocabulary()
+    random.seed(3)
+    monkeypatch.setattr(packing, "PART", 500)
+    words = ["the", "don't", "12", "2024", "...", "été", "日本", "\n", "  ", "🙂", "a" * 30, "!?", "\t\t"]
+    for joiner in (" ", "", "\n"):
+        for _ in range(20):
+            text = joiner.join(random.choice(words) for _ in range(3000))
+            assert vocabulary.encode(text).tolist() == vocabulary.encoding.encode_ordinary(text)
+    text = "日本語、" * 2000
+    assert vocabulary.encode(text).tolist() == vocabulary.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "=" * 1_000_000, "\n" * 700_000, "x" * 1_000_000, "7" * 400_000, "字" * 500_000])
+def test_long_runs_are_encoded_losslessly(text):
+    vocabulary = packing.Vocabulary()
+    assert vocabulary.decode(vocabulary.encode(text)) == text
+
+
+def test_matrices_on_disk(spark, tmp_path, empty):
+    docs = docs_of(spark, [(i, "some words of a text " * (i % 7), "en") for i in range(60)])
+    rows = packing.pack(docs.coalesce(1), packing.Vocabulary(), 32)
+    packing.write_matrices(rows, str(tmp_path / "m"), rows_a_matrix=8)
+    packed = {r["pack_id"]: r for r in rows.collect()}
+    seen = 0
+    for m in packing.read_matrices(spark, str(tmp_path / "m")).collect():
+        ids = packing.matrix(m)
+        assert ids.shape == (len(m["pack_ids"]), 32) and m["n_rows"] <= 8 and m["cu_seqlens"][-1] == ids.size
+        assert m["resets"] == m["cu_seqlens"][:-1]
+        for i, name in enumerate(m["pack_ids"]):
+            r = packed[name]
+            assert ids[i].tobytes() == bytes(r["ids"]) and m["doc_ids"][i] == r["doc_ids"] and m["starts"][i] == r["starts"]
+            own = [c - 32 * i for c in m["cu_seqlens"] if 32 * i <= c <= 32 * i + r["cu_seqlens"][-1]]
+            assert own == r["cu_seqlens"]
+            seen += 1
+    assert seen == len(packed) > 8
+    packing.write_matrices(packing.pack(empty, packing.Vocabulary()), str(tmp_path / "e"))
+    assert packing.read_matrices(spark, str(tmp_path / "e")).count() == 0
+
+
 @pytest.mark.parametrize("length", [16, 2048])
 def test_packing_round_trip(spark, messy, empty, length):
     vocabulary = packing.Vocabulary()
