@@ -249,3 +249,21 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def held_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, has_letter`` of ``op1_langid``, which SQL can express."""
+    docs = table(spark, sf_dir, "documents")
+    letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), letter)
+
+
+#: The check sum bit by bit: a byte is joined, then eight times the state is halved.
+HELD_OUT_ORACLE = r"""
+SELECT doc_id, coalesce(regexp_matches(text, '\p{L}'), false) AS has_letter,
+       coalesce(xor(list_reduce(
+         flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT
+       ), 4294967295::BIGINT) % 4 = 2, false) AS held_out
+FROM documents
+"""

@@ -21,6 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_packing": packing.op10_packing,
+        # Parts of the above that SQL can express.
+        "llm_pii_base": pii.pii_base,
+        "llm_held_out": langid.held_out_rows,
+        "llm_word_counts": wordpiece.word_counts,
     }
 
 
@@ -28,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_warc": warc.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
+        "llm_pii_base": pii.BASE_ORACLE,
+        "llm_held_out": langid.HELD_OUT_ORACLE,
+        "llm_word_counts": wordpiece.WORDS_ORACLE,
     }

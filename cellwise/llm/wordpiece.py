@@ -133,3 +133,13 @@ def token_counts(docs: DataFrame, begin: Iterable[str], proceed: Iterable[str])
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), *vocabulary(Model.load(model_path)))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words`` of ``op6_token_counts``, which SQL can express."""
+    return op6_token_counts(spark, sf_dir).select("doc_id", "n_words")
+
+
+WORDS_ORACLE = r"""
+SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 0) AS n_words FROM documents
+"""
