@@ -23,8 +23,8 @@ leaks into a document if some stretch of the document's words is within
   within the limit of edits.
 
 The benchmark is taken in blocks of BLOCK_WORDS words at most; a block is collected
-and broadcast, so its size is bounded whatever the benchmark's is, and documents
-are read once a block. Nothing else of the documents leaves the executors but the
+and broadcast, one at a time, so its size is bounded whatever the benchmark's is, and
+documents are read once a block. Nothing else of the documents leaves the executors but the
 matches. Recall is measured against brute force in the tests.
 
 Defined results: null and empty texts or items match nothing. Items of fewer than
@@ -39,6 +39,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 from math import ceil, comb, log
 from typing import NamedTuple
@@ -48,10 +49,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, packed, table
+from cellwise.llm.common import discard, materialize, table, text_key, without
 
 MAX_EDITS = 0.2
 BLOCK_WORDS = 200_000
+#: Tables of matches that are joined into one.
+JOINED = 16
 SEED = 20240101
 
 
@@ -304,14 +307,20 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[Blo
     return Blocks(dealt, int(count)), ids
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each leaking row of ``docs``, then ``item_id`` and ``edits``."""
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The columns ``keep`` of each leaking row of ``docs``, then ``item_id`` and ``edits``.
+
+    Blocks are searched one after another, when this is called: one block's broadcast
+    lives at a time, and its matches are written before the next one's is made.
+    """
     spark = docs.sparkSession
-    blocks, ids = blocks_of(benchmark)
+    blocks, ids = blocks_of(benchmark, block_words)
     rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_whole_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n bigint, edits int"
-    found = None
+    parts: list[DataFrame] = []
     for items in blocks:
         shared = spark.sparkContext.broadcast(Matcher(items))
 
@@ -330,22 +339,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                     [*taken, pa.array(item, pa.int64()), pa.array(edits, pa.int32())], [*keep, "n", "edits"]
                 )
 
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return materialize(found, "leaks").join(ids, "n").select(*keep, "item_id", "edits")
+        part = materialize(rows.mapInArrow(run, schema), "leaks")
+        shared.unpersist(blocking=True)
+        parts.append(part)
+        if len(parts) == JOINED:  # so that the plan doesn't grow with the benchmark
+            whole = materialize(reduce(DataFrame.unionByName, parts), "leaks")
+            for one in parts:
+                discard(one)
+            parts = [whole]
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return found.join(ids, "n").select(*keep, "item_id", "edits")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns."""
-    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_row_key"), F.col("text"))
-    gone = find_leaks(keyed, benchmark, ("doc_id", "_row_key")).select(
-        F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")
-    )
-    rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64("text"))
-    match = rows["_doc"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_key"])
-    return rows.join(gone, match, "left_anti").select("_row.*")
+    keyed = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("_row_key"), F.col("text"))
+    gone = find_leaks(keyed, benchmark, ("doc_id", "_row_key")).select(F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key"))
+    return without(docs, gone.distinct().withColumn("_stays", F.lit(False)), text_key(F.col("text")))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
