@@ -20,6 +20,8 @@ from cellwise.operators.result import Signals, check_options, first_signals, sig
 from cellwise.sources.shared import staged
 
 LN2 = math.log(2)
+#: Simulated tables that a task holds at a time.
+DRAWN = 1_000_000
 
 
 def with_error_rates(rows: DataFrame, groups: Sequence[str], reversed_sums: bool, reference: bool) -> DataFrame:
@@ -53,7 +55,8 @@ def with_error_rates(rows: DataFrame, groups: Sequence[str], reversed_sums: bool
     made = rows.withColumns(
         {
             "fdr": F.col("_post") / F.col("pos"),
-            "FNR": fnr / (F.col("_m") - F.col("pos") + 1e-7),
+            # Behind the last cell none is left, whatever the rounding of the sums.
+            "FNR": F.when(F.lit(reference) | (F.col("pos") < F.col("_m")), fnr / (F.col("_m") - F.col("pos") + 1e-7)).otherwise(0.0),
             "Se": F.try_divide(F.col("_rest"), F.col("_all_rest")),
             "Sp": F.try_divide(sp, F.col("_m") - F.col("_all_rest")),
         }
@@ -91,24 +94,37 @@ def _information_component(rows: DataFrame, relative_risk: float) -> DataFrame:
 
 
 def _simulated(rows: DataFrame, relative_risk: float, draws: int, seed: int) -> DataFrame:
-    """``post`` and ``lower`` from Dirichlet draws; a cell's draws depend on the seed and its counts only."""
+    """``post`` and ``lower`` from Dirichlet draws, DRAWN at a time for all cells of a batch.
+
+    A cell's draws depend on the seed, its product, event and counts only, not on where it is computed.
+    """
     threshold = math.log(relative_risk)
 
     @F.pandas_udf("struct<post:double,lower:double>")
-    def simulate(n11: pd.Series, n1j: pd.Series, ni1: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = np.empty((len(n11), 2))
-        for i, (a, b, c, total) in enumerate(zip(n11, n1j, ni1, n, strict=True)):
-            pj, pi = (b + 0.5) / (total + 1), (c + 0.5) / (total + 1)
-            qj, qi = (total - b + 0.5) / (total + 1), (total - c + 0.5) / (total + 1)
-            weight = 0.5 / (pj * pi)
-            alpha = weight * np.array([pj * pi, pj * qi, qj * pi, qj * qi]) + [a, b - a, c - a, total - b - c + a]
-            random = np.random.default_rng([seed, int(a), int(b), int(c), int(total)])
-            p = random.dirichlet(np.maximum(alpha, 1e-9), draws)
-            ic = np.log(p[:, 0] / ((p[:, 0] + p[:, 1]) * (p[:, 0] + p[:, 2])))
-            out[i] = (ic < threshold).mean(), np.sort(ic)[min(draws - 1, round(0.025 * draws))]
+    def simulate(key: pd.Series, n11: pd.Series, n1j: pd.Series, ni1: pd.Series, n: pd.Series) -> pd.DataFrame:
+        a, b, c, total = (np.asarray(v, float) for v in (n11, n1j, ni1, n))
+        pj, pi = (b + 0.5) / (total + 1), (c + 0.5) / (total + 1)
+        qj, qi = (total - b + 0.5) / (total + 1), (total - c + 0.5) / (total + 1)
+        shares = np.stack([pj * pi, pj * qi, qj * pi, qj * qi], 1)
+        alpha = np.maximum(0.5 / (pj * pi)[:, None] * shares + np.stack([a, b - a, c - a, total - b - c + a], 1), 1e-9)
+        out = np.empty((len(a), 2))
+        step = max(1, DRAWN // draws)
+        for at in range(0, len(a), step):
+            part = slice(at, at + step)
+            # Gamma draws over their sum are Dirichlet draws.
+            g = np.stack([
+                np.random.Generator(np.random.Philox(key=int(k) % (1 << 64))).standard_gamma(x, (draws, 4))
+                for k, x in zip(key.iloc[part], alpha[part], strict=True)
+            ])
+            first, all_four = g[:, :, 0], g.sum(2)
+            ic = np.log(first * all_four / ((first + g[:, :, 1]) * (first + g[:, :, 2])))
+            out[part, 0] = (ic < threshold).mean(1)
+            place = min(draws - 1, round(0.025 * draws))
+            out[part, 1] = np.partition(ic, place, axis=1)[:, place]
         return pd.DataFrame(out, columns=["post", "lower"])
 
-    made = rows.withColumn("_s", simulate("n11", "n1j", "ni1", "N"))
+    key = F.xxhash64(F.lit(seed), "product_name", "ae_name", "n11", "n1j", "ni1", "N")
+    made = rows.withColumn("_s", simulate(key, "n11", "n1j", "ni1", "N"))
     return made.withColumns({"post": F.col("_s.post"), "lower": F.col("_s.lower")}).drop("_s")
 
 
@@ -148,7 +164,7 @@ def bcpnn(
     columns = _columns(groups, stat, ranking_statistic)
     passing = F.col(stat) <= decision_thres if by_p else F.col(stat) >= decision_thres
     params = dict(model="bcpnn", relative_risk=relative_risk, min_events=min_events, MC=MC, num_MC=num_MC, seed=seed)
-    return Signals(rows.select(*columns), rows.filter(passing).select(*columns), counts, params, groups)
+    return Signals(rows.select(*columns), rows.filter(passing).select(*columns), counts, params, groups, ranking_statistic, not by_p)
 
 
 def gps(
@@ -206,7 +222,7 @@ def gps(
     params = dict(model="gps", relative_risk=relative_risk, min_events=min_events, prior_init=start, truncate=truncate,
                   prior_param={k: f.values for k, f in fits.items()} if groups else fits.get((), prior.Fit((), None, "no cells")).values,
                   convergence={k: f.message for k, f in fits.items()})
-    return Signals(rows.select(*columns), chosen.select(*columns), counts, params, groups)
+    return Signals(rows.select(*columns), chosen.select(*columns), counts, params, groups, ranking_statistic, not by_p)
 
 
 def _shrunk(rows: DataFrame, groups: Sequence[str], fits: dict, relative_risk: float) -> DataFrame:

@@ -168,7 +168,8 @@ def lasso(
     found = outcomes.groupBy("ae").applyInPandas(run, schema)
     signals = found.filter(F.col("LASSO Coefficient") > lasso_thresh)
     counts = signals.agg(F.count(F.lit(1)).alias("num_signals"))
-    return Signals(found, signals, counts, dict(model="lasso", alpha=alpha, min_events=min_events, num_bootstrap=num_bootstrap))
+    return Signals(found, signals, counts, dict(model="lasso", alpha=alpha, min_events=min_events, num_bootstrap=num_bootstrap),
+                   statistic="LASSO Coefficient", descending=True)
 
 
 def wide_lasso(design: BinaryDesign, alpha: float = 0.5, min_events: float = 3) -> Iterator[tuple[str, DataFrame]]:

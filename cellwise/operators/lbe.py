@@ -97,7 +97,8 @@ def lbe(
     """Share of null hypotheses, q-values and significance of p-values in a column.
 
     q-values are the least of pi0 * m * p / rank over this and all larger p-values.
-    Ranks are taken in ordered buckets, so the p-values are never in one task.
+    Ranks are taken over distinct values in ordered buckets, so the p-values are never
+    in one task, however many are equal.
     """
     p = F.col(column)
     about = pvals.agg(F.min(column), F.max(column), F.count(F.lit(1)), F.avg(column)).first()
@@ -119,21 +120,21 @@ def lbe(
         bounds = (0.0, min(1.0, pi0 - quantile * sd))
     if sd > 0.5:
         warnings.warn(f"The standard deviation's bound is {sd:.3g}; a smaller exponent is advisable.", stacklevel=2)
-    rows = pvals.select(p.alias("p")).withColumn("_b", magnitude(p))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    single = pvals.groupBy(p.alias("p")).agg(F.count(F.lit(1)).alias("_ties")).withColumn("_b", magnitude(F.col("p")))
+    counts = single.groupBy("_b").agg(F.sum("_ties").alias("_n"))
     up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(up), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_b").orderBy("p")
-    ranked = rows.join(counts, "_b").withColumn("_i", F.col("_before") + F.row_number().over(inside))
-    ties = Window.partitionBy("_b", "p")
-    ranked = ranked.withColumn("rank", F.avg("_i").over(ties) - 1).withColumn("_last", F.max("_i").over(ties))
+    inside = Window.partitionBy("_b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = single.join(counts, "_b").withColumn("_last", F.col("_before") + F.sum("_ties").over(inside))
+    ranked = ranked.withColumn("rank", F.col("_last") - (F.col("_ties") + 1) / 2)
     ranked = ranked.withColumn("_raw", F.lit(pi0 * m) * F.col("p") / F.col("_last"))
     later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     lows = ranked.groupBy("_b").agg(F.min("_raw").alias("_low"))
     lows = lows.withColumn("_next", F.min("_low").over(later)).drop("_low")
-    from_here = Window.partitionBy("_b").orderBy("p").rangeBetween(0, Window.unboundedFollowing)
+    from_here = Window.partitionBy("_b").orderBy("p").rowsBetween(0, Window.unboundedFollowing)
     q = F.least(F.min("_raw").over(from_here), F.coalesce("_next", F.lit(math.inf)), F.lit(1.0))
-    values = ranked.join(lows, "_b").select("p", "rank", q.alias("q"))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_ties")))
+    values = ranked.join(lows, "_b").select("p", "rank", q.alias("q"), "_ties").select("p", "rank", "q", each.alias("_copy")).drop("_copy")
     if n_significant is not None:
         fdr = values.orderBy("p").limit(n_significant + 1).agg(F.max("q")).first()[0]
         count = n_significant

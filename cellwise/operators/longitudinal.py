@@ -7,15 +7,17 @@ slices; reports are aggregated to (slice, product, event) first.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.operators.binary import convert_binary
 from cellwise.operators.cells import Cells, convert
 from cellwise.operators.result import Signals
+from cellwise.sources.shared import staged
 
 SLICE = "slice_ts"
 # Time units by their alias, as (unit of truncation, its length in months, days, hours or minutes, labelled at its end).
@@ -49,6 +51,12 @@ def label(start: Column, unit: str) -> Column:
     return next_start(start, unit) - F.make_interval(days=F.lit(1)) if UNITS[unit][2] else start
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """All frames, joined in pairs, so that a plan of many is not deep."""
+    half = len(frames) // 2
+    return _union(frames[:half]).unionByName(_union(frames[half:])) if half else frames[0]
+
+
 @dataclass
 class LongitudinalModel:
     """Reports and a time unit; ``run`` and ``run_disjoint`` score each slice.
@@ -105,13 +113,21 @@ class LongitudinalModel:
             first = F.when(F.col("_date") <= now, F.col("_start")).otherwise(next_start(F.col("_start"), self.time_unit))
             dated = dated.withColumn("_start", first)
         sums = dated.groupBy("_start", "name", "AE").agg(F.sum("count").alias("count"))
-        slices = self.calendar().filter("count <> 0").select(SLICE, F.col("_start").alias("_at"))
-        # A pair's step at one slice holds for all later ones; the calendar is small.
-        return (
-            sums.join(F.broadcast(slices), F.col("_start") <= F.col("_at"))
-            .groupBy(SLICE, "name", "AE")
-            .agg(F.sum("count").alias("count"))
-        )
+        # Slices with reports are numbered; a step's number is that of the first slice at or behind it.
+        every = self.calendar().select(SLICE, "_start", "count")
+        number = F.coalesce(F.sum((F.col("count") != 0).cast("int")).over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        every = staged(every.withColumn("_number", number))
+        slices = every.filter("count <> 0").select(SLICE, "_number")
+        last = slices.count()
+        at = every.select("_start", "_number")
+        numbered = sums.join(F.broadcast(at), "_start", "left").withColumn("_number", F.coalesce("_number", F.lit(last)))
+        pair = Window.partitionBy("name", "AE").orderBy("_start")
+        # A pair's running total holds until the pair's next step, so each slice is made once.
+        steps = numbered.withColumns(
+            {"count": F.sum("count").over(pair), "_until": F.coalesce(F.lead("_number").over(pair), F.lit(last)) - 1}
+        ).filter("_number <= _until")
+        filled = steps.select("name", "AE", "count", F.explode(F.sequence("_number", "_until")).alias("_number"))
+        return filled.join(F.broadcast(slices), "_number").select(SLICE, "name", "AE", "count")
 
     def cells(self, cumulative: bool) -> Cells:
         """Cells by slice."""
@@ -129,22 +145,27 @@ class LongitudinalModel:
         slices = self.calendar().select(SLICE)
         return Signals(
             slices.join(found.all_signals, SLICE, "left"), found.signals, slices.join(found.counts, SLICE, "left"),
-            found.params, found.groups,
+            found.params, found.groups, found.statistic, found.descending,
         )
 
     def _run_binary(self, model: Callable[..., Signals], cumulative: bool, include_gaps: bool, kwargs: dict) -> Signals:
         """Binary designs differ in their columns from slice to slice, so slices are fitted in turn."""
-        every, signals, counts = [], [], []
+        made: list[tuple[DataFrame, ...]] = []
         rows = self._cumulative_rows() if cumulative else self._disjoint_rows()
         for r in self.calendar().filter("count <> 0").orderBy(SLICE).collect():
             own = rows.filter(F.col(SLICE) == F.lit(r[SLICE]))
-            found = model(convert_binary(own), **kwargs)
             at = F.lit(r[SLICE]).alias(SLICE)
-            every.append(found.all_signals.select(at, "*"))
-            signals.append(found.signals.select(at, "*"))
-            counts.append(found.counts.select(at, "*"))
-        union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-        found = Signals(union(every), union(signals), union(counts), {}, (SLICE,))
+            try:
+                found = model(convert_binary(own), **kwargs)
+            except ValueError as e:  # the model can't fit the slice, which is left as a gap
+                warnings.warn(f"slice {r[SLICE]}: {e}", stacklevel=3)
+                continue
+            made.append(tuple(x.select(at, "*") for x in (found.all_signals, found.signals, found.counts)))
+        if not made:  # no slice: the columns of an empty one
+            found = model(convert_binary(rows.limit(0).drop(SLICE)), **kwargs)
+            at = F.lit(None).cast("timestamp").alias(SLICE)
+            made.append(tuple(x.limit(0).select(at, "*") for x in (found.all_signals, found.signals, found.counts)))
+        found = Signals(*(_union(list(frames)) for frames in zip(*made, strict=True)), {}, (SLICE,), found.statistic, found.descending)
         return self._with_gaps(found) if include_gaps else found
 
     def run(self, model: Callable[..., Signals], include_gaps: bool = True, use_binary: bool = False, **kwargs) -> Signals:

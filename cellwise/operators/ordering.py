@@ -1,7 +1,8 @@
 """Positions, running sums and ranks over a whole frame without a single-partition window.
 
 A frame is cut into buckets that are themselves ordered: by the event's name for
-the data order, and by the binary magnitude of a statistic for its rank. Windows
+the data order, and by the binary magnitude of a statistic (or of its distance from 1,
+above a half) for its rank; rows at exactly 0 or 1, as many p-values are, by their event. Windows
 run inside buckets; the small table of bucket totals is summed over the buckets
 and joined back. Group columns partition everything.
 """
@@ -27,6 +28,8 @@ def magnitude(x: Column) -> Column:
     return (
         F.when(x.isNull() | F.isnan(x), F.lit(1 << 20))
         .when(x == 0, F.lit(0))
+        .when((x > 0.5) & (x < 1), 39_984 - F.ceil(F.log2(1 - x) * 16))
+        .when(x >= 1, size + 42_000)
         .when(x > 0, size + 40_000)
         .otherwise(-size - 40_000)
         .cast("int")
@@ -39,14 +42,12 @@ def running(
     bucket: str,
     order: Sequence[Column],
     sums: dict[str, str | Column],
-    descending: bool = False,
 ) -> DataFrame:
     """Adds running sums, in the order of ``bucket`` and then ``order``; ``sums`` maps new names to what is summed."""
     inside = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     made = df.withColumns({name: F.sum(what).over(inside) for name, what in sums.items()})
     totals = df.groupBy(*groups, bucket).agg(*[F.sum(what).alias(f"_{name}") for name, what in sums.items()])
-    by = F.col(bucket).desc() if descending else F.col(bucket)
-    before = Window.partitionBy(*groups).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, bucket, *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums]
     )
@@ -64,8 +65,9 @@ def with_rank(df: DataFrame, statistic: str, name: str, groups: Sequence[str] =
     value = F.nanvl(F.col(statistic).cast("double"), F.lit(None).cast("double"))
     buckets = magnitude(value)
     if descending:
-        buckets = F.when(value.isNull(), F.lit(-(1 << 20))).otherwise(buckets)
+        buckets = F.when(value.isNull(), buckets).otherwise(-buckets)
+    tie = F.when(value.isNull() | value.isin(0.0, 1.0), F.col("ae_name").cast("string")).otherwise("")
     key = value.desc_nulls_last() if descending else value.asc_nulls_last()
     order = [key, F.col("ae_name"), F.col("product_name")]
-    df = df.withColumn("_bucket", buckets)
-    return running(df, groups, "_bucket", order, {name: F.lit(1)}, descending).drop("_bucket")
+    df = df.withColumn("_bucket", F.struct(buckets.alias("size"), tie.alias("tie")))
+    return running(df, groups, "_bucket", order, {name: F.lit(1)}).drop("_bucket")

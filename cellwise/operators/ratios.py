@@ -59,7 +59,7 @@ def _finish(rows: DataFrame, cells: Cells, statistic: str, metric: str, threshol
         F.col("ni1").alias("event margin"),
         F.col("fdr"),
     ]
-    return Signals(rows.select(*columns), chosen.select(*columns), counts, params, groups)
+    return Signals(rows.select(*columns), chosen.select(*columns), counts, params, groups, name, descending)
 
 
 def _normal_scores(rows: DataFrame, relative_risk: float) -> DataFrame:

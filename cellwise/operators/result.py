@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.operators.ordering import join_groups, with_rank
+from cellwise.sources.workbook import write_workbook
 
 METRICS = ("fdr", "signals", "rank")
 SEMANTICS = ("reference", "corrected")
@@ -23,6 +24,17 @@ class Signals:
     counts: DataFrame  # the group columns and num_signals
     params: dict = field(default_factory=dict)
     groups: tuple[str, ...] = ()
+    statistic: str = ""  # the column that ranks the cells
+    descending: bool = False  # whether its large values come first
+
+    def ranked(self, which: str = "all_signals") -> DataFrame:
+        """``all_signals`` or ``signals`` sorted by the statistic, with ``index``, its place from 0 in its group.
+
+        Ties go by event and product; null statistics come last.
+        """
+        names = {"ae_name": F.col("Adverse Event"), "product_name": F.col("Product")}
+        rows = with_rank(getattr(self, which).withColumns(names), self.statistic, "index", self.groups, self.descending)
+        return rows.withColumn("index", F.col("index") - 1).drop(*names).orderBy(*self.groups, "index")
 
     @property
     def num_signals(self) -> int:
@@ -35,15 +47,11 @@ class Signals:
     def export(self, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
         """Write ``signals`` and ``all_data`` below ``path``; ``excel`` makes one workbook of two sheets.
 
-        A workbook is made on the driver and so is for small results only; it needs a
-        library that writes workbooks.
+        A workbook (a file on the driver's machine) holds at most the 1,048,575 rows a sheet
+        that the format allows; a larger result is refused before anything is written.
         """
         if format == "excel":
-            import pandas as pd
-
-            with pd.ExcelWriter(path) as book:
-                self.signals.toPandas().to_excel(book, sheet_name="Signals", index=False)
-                self.all_signals.toPandas().to_excel(book, sheet_name="all_data", index=False)
+            write_workbook(path, {"Signals": self.signals, "all_data": self.all_signals})
             return
         for name, frame in (("signals", self.signals), ("all_data", self.all_signals)):
             # Parquet and CSV allow the names as they are.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellwise.operators import bayes, binary, cells, expected, ratios
 from cellwise.operators.lasso import lasso
 from cellwise.operators.longitudinal import LongitudinalModel
-from cellwise.operators.lbe import exponent
+from cellwise.operators.lbe import lbe
 from cellwise.operators.ordering import with_position
 from cellwise.plans import oracle as O
 from cellwise.plans import views
@@ -91,6 +91,24 @@ def _lasso(**options) -> Query:
     return run
 
 
+def _q_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bayes.bcpnn(_cells(views.user_event)(spark, sf_dir)).ranked()
+    return rounded(found.select("index", "Product", "Adverse Event", "quantile"))
+
+
+def _q_lbe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ratios.prr(_cells(views.brand_quantity)(spark, sf_dir)).all_signals
+    result = lbe(found, "p_value")
+    return rounded(result.values.select("*", F.lit(result.pi0).alias("pi0"), (F.col("q") <= result.fdr).alias("significant")))
+
+
+def _q_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years without reports between years with some."""
+    even = views.brand_quantity(spark, sf_dir).filter(F.year("date") % 2 == 0)
+    found = LongitudinalModel(even, "YE").run_disjoint(bayes.bcpnn, include_gaps=True)
+    return rounded(found.all_signals.withColumn("slice_ts", F.date_format("slice_ts", "yyyy-MM-dd")))
+
+
 PRIOR = dict(zip(("alpha1", "beta1", "alpha2", "beta2", "w"), O.PRIOR, strict=True))
 
 
@@ -116,10 +134,20 @@ def queries() -> dict[str, Query]:
         "bcpnn": _signals(bayes.bcpnn, views.user_event),
         "bcpnn_p": _signals(bayes.bcpnn, views.name_size, ranking_statistic="p_value"),
         "bcpnn_signals": _signals(bayes.bcpnn, views.name_size, "signals"),
-        "bcpnn_mc": _signals(bayes.bcpnn, views.flags, MC=True, num_MC=1000, seed=7),
+        "bcpnn_mc": _signals(bayes.bcpnn, views.flags, MC=True, seed=7),
         "gps": _signals(bayes.gps, views.name_size, ranking_statistic="p_value", prior_param=list(O.PRIOR)),
-        "gps_log2": lambda spark, sf_dir: _signals(bayes.gps, views.user_event, prior_param=list(O.PRIOR))(spark, sf_dir).drop("LowerBound"),
+        "gps_log2": _signals(bayes.gps, views.user_event, prior_param=list(O.PRIOR)),
         "gps_quantile": _signals(bayes.gps, views.name_size, "signals", ranking_statistic="quantile", prior_param=list(O.PRIOR)),
+        "prr_corrected": _signals(ratios.prr, views.name_size, semantics="corrected"),
+        "prr_rr": _signals(ratios.prr, views.name_size, relative_risk=1.5),
+        "ror_fdr": _signals(ratios.ror, views.name_size, "signals", decision_metric="fdr", decision_thres=0.05, semantics="corrected"),
+        "rfet_signals": _signals(ratios.rfet, views.name_size, "signals", decision_metric="signals", decision_thres=0.01),
+        "bcpnn_corrected": _signals(bayes.bcpnn, views.user_event, semantics="corrected"),
+        "bcpnn_rr": _signals(bayes.bcpnn, views.name_size, relative_risk=2),
+        "bcpnn_ranked": _q_ranked,
+        "gps_rr": _signals(bayes.gps, views.name_size, ranking_statistic="p_value", prior_param=list(O.PRIOR), relative_risk=2),
+        "lbe": _q_lbe,
+        "long_gaps": _q_gaps,
         "long_cumulative": _long(ratios.prr, views.brand_quantity, "YE", True),
         "long_disjoint": _long(bayes.bcpnn, views.brand_quantity, "YE", False),
         "long_daily": _long(bayes.bcpnn, views.user_event, "D", True),
@@ -138,9 +166,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results by independent formulas."""
-    a_name, a_brand, a_flags = (exponent(m) for m in (1469, 1250, 180))
     ns, bq, ue = O.cells("name_size"), O.cells("brand_quantity"), O.cells("user_event")
-    with_prr = O.ratio_query(ns, O.prr_scores(), a_name, O.ratio_columns())
+    with_prr = O.ratio_query(ns, O.prr_scores(), O.ratio_columns())
     found = {
         "cells": O.cells("user_event", 10)
         + " SELECT events, n1j AS product_aes, ni1 AS count_across_brands, ae AS ae_name, name AS product_name FROM c",
@@ -148,25 +175,88 @@ def oracle_sql() -> dict[str, str]:
         "cell_position": ns + " SELECT ae AS ae_name, name AS product_name, pos FROM c",
         "expected_mh": bq + f" SELECT name AS product_name, ae AS ae_name, n11, {O.rnd('e')} AS \"E\" FROM c",
         "prr": with_prr,
-        "prr_flags": O.ratio_query(O.cells("flags"), O.prr_scores(), a_flags, O.ratio_columns()),
+        "prr_flags": O.ratio_query(O.cells("flags"), O.prr_scores(), O.ratio_columns()),
         "prr_ci": O.ratio_query(
-            ns, O.prr_scores(), a_name, O.ratio_columns("lower_", "lower_bound_CI(95%)", "CAST(NULL AS DOUBLE)")
+            ns, O.prr_scores(), O.ratio_columns("lower_", "lower_bound_CI(95%)", "CAST(NULL AS DOUBLE)")
         ),
         "prr_signals": f"SELECT * FROM ({with_prr}) WHERE p_value <= 0.05",
-        "ror": O.ratio_query(bq, O.ror_scores(), a_brand, O.ratio_columns()),
-        "rfet": O.ratio_query(bq, O.rfet_scores(), a_brand, O.ratio_columns()),
+        "ror": O.ratio_query(bq, O.ror_scores(), O.ratio_columns()),
+        "rfet": O.ratio_query(bq, O.rfet_scores(), O.ratio_columns()),
         "bcpnn": ue + f", {O.bcpnn_scores()}, {O.error_rates()} SELECT {O.bayes_columns('lower_', 'quantile')} FROM z",
         "bcpnn_p": ns + f", {O.bcpnn_scores()}, {O.error_rates()} SELECT {O.bayes_columns('post', 'p_value')} FROM z",
         "bcpnn_signals": ns
         + f", {O.bcpnn_scores()}, {O.error_rates()} SELECT {O.bayes_columns('lower_', 'quantile')} FROM z WHERE lower_ >= 0.05",
         "gps": ns + f", {O.gps_scores()}, {O.error_rates(mirrored=False)} SELECT {O.bayes_columns('post', 'p_value')} FROM z",
         "gps_log2": ue
-        + f", {O.gps_scores()}, {O.error_rates()} SELECT {O.bayes_columns('eb', 'log2', f', {O.rnd("post")} AS p_value')} FROM z",
+        + f", {O.gps_scores()}, {O.error_rates()} SELECT {O.bayes_columns('eb', 'log2', f', {O.rnd("post")} AS p_value, {O.rnd(O.quantile())} AS "LowerBound"')} FROM z",
     }
-    found |= _more_oracles()
+    found |= _more_oracles() | _model_oracles()
     return found
 
 
+def _model_oracles() -> dict[str, str]:
+    """Regressions, quantiles and the other options, by formulas or algorithms of their own."""
+    ns, ue = O.cells("name_size"), O.cells("user_event")
+    recursive = ns.replace("WITH", "WITH RECURSIVE", 1)
+    four = lambda x: f"round(({x})::DOUBLE * 1.000000000001::DOUBLE, 4) + 0.0"
+    fitted = lambda alpha: recursive + f", {O.glm(alpha)} SELECT name AS product_name, ae AS ae_name, n11, {four('mu')} AS \"E\" FROM f"
+    t = O.t_quantile(1.959963984540054, "(m - 1)")
+    dispersion = f"""{recursive}, {O.glm(0.0)},
+      d AS (SELECT count(*)::DOUBLE AS m, sum((n11 - mu) * (n11 - mu) / mu) AS chi, sum(mu * y) AS mr, sum(mu * mu) AS mm, sum(y * y) AS rr
+            FROM (SELECT *, ((n11 - mu) * (n11 - mu) - n11) / mu AS y FROM f)),
+      o AS (SELECT *, mr / mm AS slope, sqrt((rr - mr * mr / mm) / (m - 1) / mm) * {t} AS half FROM d)
+      SELECT {four('chi / (m - 3)')} AS dispersion, {four('slope')} AS alpha, {four('slope - half')} AS lb, {four('slope + half')} AS ub FROM o"""
+    lower = f"l AS (SELECT *, {O.quantile()} AS lower_ FROM b)"
+    quantile = f"""{ns}, {O.gps_scores()}, {lower}, {O.error_rates().replace('FROM b)', 'FROM l)', 1)}
+      SELECT {O.bayes_columns('lower_', 'quantile', f', {O.rnd("post")} AS posterior_probability')}
+      FROM (SELECT *, row_number() OVER (ORDER BY lower_ DESC, ae, name) AS rk, count(*) FILTER (lower_ >= 0.05) OVER () AS passing FROM z)
+      WHERE rk <= passing - 1"""
+    rows = views.SQL["multi"]
+    fixed = "SELECT ae, 0 AS i, 0.0005::DOUBLE AS a FROM e"
+    # The largest penalty that leaves a coefficient, and a hundred steps down to a ten-thousandth of it, and none.
+    grid = """SELECT ae, i, CASE WHEN i < 100 THEN greatest(top, 1e-12) * pow(1e-4::DOUBLE, i / 99.0::DOUBLE) ELSE 0.0 END AS a
+      FROM (SELECT ae, list_max(list_transform(shares, lambda x: abs(x.p * (x.r - mean)))) AS top FROM e), (SELECT unnest(range(0, 101)) AS i)"""
+    columns = f"""w.name AS "Product", w.ae AS "Adverse Event", {O.rnd('w.w')} AS "LASSO Coefficient", 0.0::DOUBLE AS "CI Lower", 0.0::DOUBLE AS "CI Upper\""""
+    choice = """v AS (SELECT ae, i, any_value(n) AS n, sum(p * r * (1 - r) + p * (r - b - w) * (r - b - w)) AS rss, sum(p * r * (1 - r)) AS least,
+                             count(*) AS products, count(*) FILTER (abs(w) > 1e-12) AS held FROM w GROUP BY ae, i),
+      best AS (SELECT ae, arg_min(i, {'v': round(rss / (least / (n - products - 1)) + ln(n) * held, 9), 'i': i}) AS i FROM v GROUP BY ae)"""
+    even = f"SELECT make_date(year(dt)::BIGINT, 12, 31)::TIMESTAMP AS ts, name, ae, cnt FROM ({views.SQL['brand_quantity']}) WHERE year(dt) % 2 = 0"
+    gaps = f"""{O.cells("", key="ts", source=even)}, {O.bcpnn_scores()}, {O.error_rates('ts')},
+      every AS (SELECT unnest(range(min(year(ts)), max(year(ts)) + 1)) AS y FROM rep),
+      out AS (SELECT year(ts) AS y, {O.bayes_columns('lower_', 'quantile')} FROM z)
+      SELECT every.y || '-12-31' AS slice_ts, out.* EXCLUDE (y) FROM every LEFT JOIN out USING (y)"""
+    lbe_sql = f"""{O.cells("brand_quantity")}, ms AS (SELECT m, {O.exponent('m')} AS ex FROM (SELECT DISTINCT m FROM c)),
+      s1 AS (SELECT c.*, ex, n1j - n11 AS n10, ni1 - n11 + 1e-7::DOUBLE AS n01 FROM c JOIN ms USING (m)),
+      s0 AS (SELECT *, n - (n11 + n10 + n01) AS n00 FROM s1), {O.prr_scores()},
+      j AS (SELECT p, m, least(1.0, avg(CASE WHEN p >= 1 THEN 1e300 ELSE pow(-ln(1 - p), ex) END / exp(lgamma(ex + 1))) OVER ()) AS pi0,
+                   row_number() OVER (ORDER BY p) AS i FROM s2),
+      o AS (SELECT *, avg(i) OVER (PARTITION BY p) - 1 AS rank, max(i) OVER (PARTITION BY p) AS last_ FROM j),
+      q AS (SELECT *, least(1.0, min(pi0 * m * p / last_) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM o)
+      SELECT {O.rnd('p')} AS p, {O.rnd('rank')} AS rank, {O.rnd('q')} AS q, {O.rnd('pi0')} AS pi0, q <= 0.05 AS significant FROM q"""
+    rfet = O.ratio_query(ns, O.rfet_scores(), O.ratio_columns())
+    return {
+        "expected_poisson": fitted(0.0),
+        "expected_nb": fitted(1.0),
+        "dispersion": dispersion,
+        "gps_quantile": quantile,
+        "gps_rr": ns + f", {O.gps_scores(2.0)}, {O.error_rates(mirrored=False)} SELECT {O.bayes_columns('post', 'p_value')} FROM z",
+        "bcpnn_rr": ns + f", {O.bcpnn_scores(2.0)}, {O.error_rates()} SELECT {O.bayes_columns('lower_', 'quantile')} FROM z",
+        "bcpnn_corrected": ue + f", {O.bcpnn_scores()}, {O.own_rates()} SELECT {O.bayes_columns('lower_', 'quantile')} FROM z",
+        "bcpnn_ranked": ue + f""", {O.bcpnn_scores()} SELECT row_number() OVER (ORDER BY lower_ DESC, ae, name) - 1 AS "index",
+          name AS "Product", ae AS "Adverse Event", {O.rnd('lower_')} AS quantile FROM b""",
+        "prr_corrected": O.ratio_query(ns, O.prr_scores(), O.ratio_columns(), own=True),
+        "prr_rr": O.ratio_query(ns, O.prr_scores(1.5), O.ratio_columns()),
+        "ror_fdr": f"SELECT * EXCLUDE (rk, passing) FROM (SELECT *, count(*) FILTER (fdr <= 0.05) OVER () AS passing FROM "
+        f"({O.ratio_query(ns, O.ror_scores(), O.ratio_columns() + ', x.rk', own=True)})) WHERE rk <= passing",
+        "rfet_signals": f"SELECT * FROM ({rfet}) WHERE p_value <= 0.01",
+        "lbe": lbe_sql,
+        "long_gaps": gaps,
+        "lasso": f"{O.one_hot_lasso(rows, fixed)} SELECT {columns} FROM w",
+        "lasso_ic": f"{O.one_hot_lasso(rows, grid)}, {choice} SELECT {columns} FROM w JOIN best USING (ae, i)",
+        "lasso_glm": f"{O.one_hot_lasso(rows, fixed)} SELECT {columns.replace('w.w', 'CASE WHEN w.r > 0 THEN greatest(ln(w.r), 0.0) ELSE 0.0 END')} FROM w",
+    }
+
+
 def _more_oracles() -> dict[str, str]:
     years = f"""SELECT s.y AS ts, name, ae, cnt FROM ({views.SQL['brand_quantity']}) r
       JOIN (SELECT DISTINCT last_day(make_date(year(dt)::BIGINT, 12, 1))::TIMESTAMP AS y FROM ({views.SQL['brand_quantity']})) s
@@ -178,7 +268,7 @@ def _more_oracles() -> dict[str, str]:
     daily = O.cells("", key="ts", source=days)
     stamp = "strftime(ts, '%Y-%m-%d') AS slice_ts"
     cumulative = O.ratio_query(
-        O.cells("", key="ts", source=years.format(on="r.dt <= s.y")), O.prr_scores(), {m: exponent(m) for m in range(1100, 1251)}, O.ratio_columns(), key="ts"
+        O.cells("", key="ts", source=years.format(on="r.dt <= s.y")), O.prr_scores(), O.ratio_columns(), key="ts"
     )
     pairs = f"""WITH rep AS ({views.SQL['multi']}),
       s AS (SELECT ae, cnt, name AS p, name AS a, NULL AS b FROM rep UNION ALL SELECT ae, cnt, name2, name2, NULL FROM rep
@@ -186,11 +276,11 @@ def _more_oracles() -> dict[str, str]:
       e AS (SELECT ae, p, any_value(a) AS a, any_value(b) AS b, sum(cnt)::BIGINT AS events, count(*) AS uses FROM s GROUP BY ae, p),
       n AS (SELECT p, count(*) AS c FROM (SELECT name AS p FROM rep UNION ALL SELECT name2 FROM rep) GROUP BY p),
       x AS (SELECT ae, 2 * count(*) AS c FROM rep GROUP BY ae)"""
-    ror_names = O.ratio_query(O.cells("name_size"), O.ror_scores(), exponent(1469), O.ratio_columns())
+    ror_names = O.ratio_query(O.cells("name_size"), O.ror_scores(), O.ratio_columns())
     return {
-        "prr_min_events": O.ratio_query(O.cells("name_size", min_events=20), O.prr_scores(), exponent(1451), O.ratio_columns()),
+        "prr_min_events": O.ratio_query(O.cells("name_size", min_events=20), O.prr_scores(), O.ratio_columns()),
         "ror_signals": f"SELECT * FROM ({ror_names}) WHERE p_value <= 0.01",
-        "rfet_mid": O.ratio_query(O.cells("brand_quantity"), O.rfet_scores(mid=True), exponent(1250), O.ratio_columns()),
+        "rfet_mid": O.ratio_query(O.cells("brand_quantity"), O.rfet_scores(mid=True), O.ratio_columns()),
         "long_cumulative": f"SELECT * EXCLUDE (ts), {stamp} FROM ({cumulative})",
         "long_disjoint": disjoint
         + f", {O.bcpnn_scores()}, {O.error_rates('ts')} SELECT {stamp}, {O.bayes_columns('lower_', 'quantile')} FROM z",

@@ -1,5 +1,7 @@
 """Slices, designs, several products, penalised regression, streams and sources."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -116,3 +118,90 @@ def test_streams(spark, tmp_path, reports):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "scores").glob("batch=*"))
     assert spark.read.parquet(str(tmp_path / "out" / "scores" / f"batch={last}")).count() == 10
     assert windowed_counts(stream, "365 days", "1 day").isStreaming
+
+
+def test_workbook_holds_both_sheets(spark, tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    from cellwise.sources.workbook import write_workbook
+
+    frame = spark.createDataFrame([("a <&> \x01b", 1.5, 3, True), (None, float("inf"), None, False)], "t string, d double, n bigint, b boolean")
+    write_workbook(str(tmp_path / "x.xlsx"), {"Signals": frame, "all_data": frame.limit(0)})
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(tmp_path / "x.xlsx") as book:
+        names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{space}sheet")]
+        rows = [["".join(c.itertext()) for c in r] for r in ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml")).iter(f"{space}row")]
+        assert all(ElementTree.fromstring(book.read(n)) is not None for n in book.namelist())
+    assert names == ["Signals", "all_data"]
+    assert rows[0] == ["t", "d", "n", "b"] and sorted(rows[1:]) == sorted([["a <&> b", "1.5", "3", "1"], ["", "", "", "0"]])
+
+
+def test_export_of_a_model(spark, reports, tmp_path):
+    from cellwise import convert, prr
+
+    found = prr(convert(reports))
+    found.export(str(tmp_path / "out.xlsx"), format="excel")
+    found.export(str(tmp_path / "out"))
+    assert (tmp_path / "out.xlsx").stat().st_size > 1000
+    assert spark.read.parquet(str(tmp_path / "out" / "all_data")).count() == found.all_signals.count()
+
+
+def test_ranked_results(reports):
+    from cellwise import bcpnn, convert
+
+    rows = bcpnn(convert(reports)).ranked().collect()
+    assert [r["index"] for r in rows] == list(range(len(rows)))
+    assert [r["quantile"] for r in rows] == sorted((r["quantile"] for r in rows), reverse=True)
+
+
+def test_ranks_of_many_ties_and_of_values_near_one(spark):
+    from cellwise.operators.ordering import with_rank
+
+    random.seed(4)
+    values = [0.0] * 30 + [1.0] * 30 + [1 - 2.0**-k for k in range(1, 50)] + [2.0**-k for k in range(1, 50)] + [None] * 5 + [1.5, 3.0, -1.0, -0.2]
+    data = [(v, f"e{random.randrange(9)}", f"p{i}") for i, v in enumerate(values)]
+    frame = spark.createDataFrame(data, "x double, ae_name string, product_name string")
+    for descending in (False, True):
+        order = sorted(data, key=lambda r: (r[0] is None, (-r[0] if descending else r[0]) if r[0] is not None else 0, r[1], r[2]))
+        found = {r["product_name"]: r["k"] for r in with_rank(frame, "x", "k", (), descending).collect()}
+        assert [found[r[2]] for r in order] == list(range(1, len(order) + 1))
+
+
+def test_binary_slices_of_an_empty_table_and_failing_slices(reports):
+    from cellwise import LongitudinalModel, lasso
+
+    empty = LongitudinalModel(reports.limit(0), "YE").run(lasso, use_binary=True, num_bootstrap=0)
+    assert empty.all_signals.count() == 0
+
+    def fails(design, **options):
+        found = lasso(design, **options)
+        if found.all_signals.select("Product").distinct().count() < 3:
+            raise ValueError("too few products")
+        return found
+
+    with pytest.warns(UserWarning, match="too few"):
+        found = LongitudinalModel(reports, "YE").run_disjoint(fails, use_binary=True, num_bootstrap=0)
+    rows = found.all_signals.collect()
+    assert {str(r["slice_ts"])[:4] for r in rows if r["Product"] is None} and {str(r["slice_ts"])[:4] for r in rows} == {"2020", "2021", "2022"}
+
+
+def test_cumulative_totals_against_plain_loops(spark):
+    from cellwise import LongitudinalModel
+
+    random.seed(3)
+    rows = [(f"p{random.randrange(4)}", f"e{random.randrange(3)}", random.randrange(3), f"20{random.choice((10, 11, 14, 15, 19))}-{random.randrange(1, 13):02d}-{random.randrange(1, 29):02d}") for _ in range(120)]
+    reports = spark.createDataFrame(rows, "name string, AE string, count bigint, date string").selectExpr("name", "AE", "count", "cast(date as timestamp) date")
+    for unit, length in (("YE", 4), ("MS", 7)):
+        for semantics in ("corrected", "reference"):
+            found = LongitudinalModel(reports, unit, semantics=semantics)._cumulative_rows().collect()
+            got = {(str(r["slice_ts"])[:length], r["name"], r["AE"]): r["count"] for r in found}
+            held = {d[:length] for _, _, n, d in rows}
+            slices = {s for s in held if sum(n for _, _, n, d in rows if d[:length] == s)}
+            within = lambda d, s: d[:length] <= s if semantics == "corrected" or unit == "YE" else d <= s + "-01"  # noqa: B023, E731
+            expected = {}
+            for s in slices:
+                for name, ae, n, d in rows:
+                    if within(d, s):
+                        expected[s, name, ae] = expected.get((s, name, ae), 0) + n
+            assert got == expected, (unit, semantics)
