@@ -35,7 +35,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Latin, Greek, Cyrillic, Hebrew, Arabic and Devanagari, and in Han, kana, Hangul and Thai writing.
 ENDINGS = "er en ed re st la es os do ov ka ος αι το ов на ть ия ом ים ות של ات ية من في की का है में 니다 에서 는".split()
 CHARACTERS = "的了是在のをはにกร"
-BOUNDARY = rf"(?:(?<=(?:{'|'.join(ENDINGS)})[. ])|(?<=[{CHARACTERS}]))"
+BOUNDARY = rf"(?:(?<=[. ])(?<=(?:{'|'.join(ENDINGS)})[. ])|(?<=[{CHARACTERS}]))"
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
 
