@@ -17,7 +17,7 @@ from cellwise.operators.cells import Cells, scored
 from cellwise.operators.expected import MARGINS, POISSON, warn_if_dispersed, with_expected
 from cellwise.operators.ordering import join_groups, running
 from cellwise.operators.result import Signals, check_options, first_signals, signal_counts
-from cellwise.sources.shared import staged
+from cellwise.sources.shared import small_table, staged
 
 LN2 = math.log(2)
 #: Simulated tables that a task holds at a time.
@@ -237,7 +237,7 @@ def _shrunk(rows: DataFrame, groups: Sequence[str], fits: dict, relative_risk: f
     else:
         table = [(*k, *f.values) for k, f in fits.items()]
         schema = (kinds + ", " if kinds else "") + ", ".join(f"{n} double" for n in names)
-        rows = join_groups(rows, F.broadcast(rows.sparkSession.createDataFrame(table, schema)), groups)
+        rows = join_groups(rows, F.broadcast(small_table(rows.sparkSession, table, schema)), groups)
         rows = rows.withColumns({f"l{i}": _ln_nbinom(f"a{i}", f"b{i}") for i in (1, 2)})
     ratio = (1 - F.col("w")) / F.col("w") * F.exp(F.col("l2") - F.col("l1"))
     rows = rows.withColumn("q", F.when(F.col("w") > 0, 1 / (1 + ratio)).otherwise(0.0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions.numeric import t_quantile
 from cellwise.operators.cells import Cells, scored
+from cellwise.sources.shared import small_table
 
 MARGINS, NEGATIVE_BINOMIAL, POISSON = "mantel-haentzel", "negative-binomial", "poisson"
 STEPS, TOLERANCE = 100, 1e-8
@@ -36,7 +37,7 @@ def _irls(rows: DataFrame, groups: Sequence[str], alpha: float) -> dict[tuple, n
         if not live:
             break
         table = [(*k, *keys[k], *(state[k].tolist() if state[k] is not None else (0.0, 0.0, 0.0))) for k in sorted(live, key=str)]
-        now = spark.createDataFrame(table, (kinds + ", " if kinds else "") + "m double, u double, v double, c0 double, c1 double, c2 double")
+        now = small_table(spark, table, (kinds + ", " if kinds else "") + "m double, u double, v double, c0 double, c1 double, c2 double")
         joined = rows.join(F.broadcast(now), list(groups)) if groups else rows.crossJoin(F.broadcast(now))
         x = {0: F.lit(1.0), 1: F.col("n1j") / F.col("u"), 2: F.col("ni1") / F.col("v")}
         mu = (F.col("n11") + F.col("m")) / 2 if step == 0 else F.exp(F.col("c0") + F.col("c1") * x[1] + F.col("c2") * x[2])
@@ -84,7 +85,7 @@ def with_expected(rows: DataFrame, method: str = MARGINS, alpha: float = 1, grou
         warnings.warn(SINGULAR, stacklevel=2)
     kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in groups)
     table = [(*k, *(c.tolist() if c is not None else (None,) * 3)) for k, c in found.items()]
-    fits = rows.sparkSession.createDataFrame(table, (kinds + ", " if kinds else "") + "_c0 double, _c1 double, _c2 double")
+    fits = small_table(rows.sparkSession, table, (kinds + ", " if kinds else "") + "_c0 double, _c1 double, _c2 double")
     if not groups and not table:
         return rows.withColumn("E", margins)
     joined = rows.join(F.broadcast(fits), list(groups), "left") if groups else rows.crossJoin(F.broadcast(fits))
@@ -132,7 +133,7 @@ def _dispersion(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
         found.append((*key, s["chi"] / (m - 3), slope, slope - t * error, slope + t * error))
     kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in groups)
     schema = (kinds + ", " if kinds else "") + "dispersion double, alpha double, lb double, ub double"
-    return rows.sparkSession.createDataFrame(found, schema)
+    return small_table(rows.sparkSession, found, schema)
 
 
 def test_dispersion(cells: Cells) -> dict[str, float]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cellwise.operators.binary import BinaryDesign
 from cellwise.operators.result import Signals
+from cellwise.sources.shared import small_table
 
 MAX_PRODUCTS = 2_000
 #: Distinct patterns that bootstrap and count models read at a time, on each task.
@@ -185,4 +186,4 @@ def wide_lasso(design: BinaryDesign, alpha: float = 0.5, min_events: float = 3)
     for r in totals.orderBy("ae").toLocalIterator():
         model = solver.fit(data.withColumn("label", F.when(F.col("ae") == r["ae"], F.col("y")).otherwise(0).cast("double")))
         table = [(p, float(c)) for p, c in zip(vector.vocabulary, model.coefficients, strict=True)]
-        yield r["ae"], data.sparkSession.createDataFrame(table, "Product string, `LASSO Coefficient` double")
+        yield r["ae"], small_table(data.sparkSession, table, "Product string, `LASSO Coefficient` double")

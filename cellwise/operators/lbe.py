@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.operators.ordering import join_groups, magnitude
+from cellwise.sources.shared import small_table
 
 BOUND = 0.05
 
@@ -47,7 +48,7 @@ def null_shares(rows: DataFrame, p: str, groups: Sequence[str] = (), skip_null:
     for r in counts:
         a = exponent(r["m"])
         table.append((*[r[g] for g in groups], r["m"], a, math.gamma(a + 1)))
-    known = spark.createDataFrame(table, (kinds + ", " if kinds else "") + "m bigint, a double, gamma_a double")
+    known = small_table(spark, table, (kinds + ", " if kinds else "") + "m bigint, a double, gamma_a double")
     two = 2 * F.least(F.col(p), 1 - F.col(p))
     joined = used.select(*groups, F.when(F.col(p).isNotNull(), two).alias("_p"))
     joined = joined.join(F.broadcast(known), list(groups)) if groups else joined.crossJoin(F.broadcast(known))

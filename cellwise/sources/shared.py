@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
+from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType, TimestampType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +59,16 @@ def staged(df: DataFrame, tag: str = "staged") -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's, by Arrow: they are part of the plan, where a list would start Python workers."""
+    fields = StructType.fromDDL(schema).fields
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    # collect() gives timestamps in the driver's time zone, without naming it.
+    moments = [
+        [v.astimezone(timezone.utc) if isinstance(v, datetime) and isinstance(f.dataType, TimestampType) else v for v in c]
+        for f, c in zip(fields, columns, strict=True)
+    ]
+    table = pa.Table.from_arrays([pa.array(c) for c in moments], names=[f.name for f in fields])
+    return spark.createDataFrame(table, StructType(fields))

@@ -1,6 +1,8 @@
 """Slices, designs, several products, penalised regression, streams and sources."""
 
+import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import cellwise
 from cellwise.operators.binary import convert_binary, convert_multi_item
 from cellwise.operators.lasso import coordinate_descent, lasso, wide_lasso
 from cellwise.sources.readers import from_pandas, read_reports
+from cellwise.sources.shared import small_table
 from cellwise.streaming.windows import score_stream, windowed_counts
 from tests import fixture_g1 as g1
 
@@ -205,3 +208,20 @@ def test_cumulative_totals_against_plain_loops(spark):
                     if within(d, s):
                         expected[s, name, ae] = expected.get((s, name, ae), 0) + n
             assert got == expected, (unit, semantics)
+
+
+def test_small_table_keeps_values_without_an_rdd(spark):
+    moment = datetime(2020, 3, 29, 12, 30)
+    schema = "`a b` string, t timestamp, d date, n bigint, x double"
+    rows = [("é", moment, moment.date(), 2**60, 0.1 + 0.2), (None, None, None, None, None), ("", moment, None, 0, math.inf)]
+    made = small_table(spark, rows, schema)
+    assert [tuple(r) for r in made.collect()] == rows
+    assert made.schema == spark.createDataFrame([], schema).schema
+    assert "RDD" not in made._jdf.queryExecution().executedPlan().toString()
+    assert small_table(spark, [], schema).collect() == []
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert small_table(spark, rows, schema).collect()[0]["t"] == moment
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
