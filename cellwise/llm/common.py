@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwise.sources.shared import new_path, shared_dir, staged
 
-__all__ = ["bounded", "discard", "let", "materialize", "new_path", "packed", "shared_dir", "spread_join", "table", "text_key", "without"]
+__all__ = ["bounded", "discard", "let", "materialize", "new_path", "packed", "returning", "shared_dir", "spread_join", "table", "text_key", "without"]
 
 #: Tables of this many rows at most are broadcast, once counted; beyond, a shuffle joins them.
 BROADCAST_ROWS = 200_000
@@ -77,6 +81,25 @@ def without(docs: DataFrame, odd: DataFrame, key: Column) -> DataFrame:
     return left.select("_row.*")
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, which gives freed memory back to the system after each task.
+
+    Python workers outlive a stage. What their allocators would hold back for the next
+    one lies idle beside the executor's heap, which the later stages fill.
+    """
+
+    def then_return(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return then_return
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by ``materialize`` that nothing reads any more."""
     spark = df.sparkSession

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import discard, materialize, table, text_key, without
+from cellwise.llm.common import discard, materialize, returning, table, text_key, without
 
 MAX_EDITS = 0.2
 BLOCK_WORDS = 200_000
@@ -339,7 +339,7 @@ def find_leaks(
                     [*taken, pa.array(item, pa.int64()), pa.array(edits, pa.int32())], [*keep, "n", "edits"]
                 )
 
-        part = materialize(rows.mapInArrow(run, schema), "leaks")
+        part = materialize(rows.mapInArrow(returning(run), schema), "leaks")
         shared.unpersist(blocking=True)
         parts.append(part)
         if len(parts) == JOINED:  # so that the plan doesn't grow with the benchmark

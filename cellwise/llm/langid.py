@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from cellwise.llm.common import packed, table
+from cellwise.llm.common import packed, returning, table
+from cellwise.sources.shared import small_table
 
 # Language codes by family.
 FAMILIES = {
@@ -176,9 +177,9 @@ def training_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Data
 
 
 def _few(counts: DataFrame, most: int = MOST_LANGUAGES) -> DataFrame:
-    """The counts of the languages with most rows, as a local table."""
+    """The counts of the languages with most rows, as a local table that starts no Python workers."""
     found = counts.orderBy(F.desc("n"), "lang").take(most)
-    return counts.sparkSession.createDataFrame(found, counts.schema)
+    return small_table(counts.sparkSession, found, "lang string, n bigint")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -> Model:
@@ -192,7 +193,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM)
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
     sample = training_rows(labelled, per_language).select("doc_id", "text", "lang")
-    rows = sample.mapInArrow(run, f"k {kind}, lang string, x binary").filter("x IS NOT NULL").collect()
+    rows = sample.mapInArrow(returning(run), f"k {kind}, lang string, x binary").filter("x IS NOT NULL").collect()
     rows.sort(key=lambda r: (r["lang"], str(r["k"]), bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows]).reshape(len(rows), dim)
     return fit(x, [r["lang"] for r in rows])
@@ -215,7 +216,7 @@ def _predicted(rows: DataFrame, model: Model, texts, dim: int = DIM) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), labels, scores], ["_row", "lang_pred", "score"])
 
     kinds = StructType([rows.schema["_row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(returning(run), kinds)
 
 
 def held_out(doc_id: Column) -> Column:

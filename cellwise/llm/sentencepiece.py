@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import table
+from cellwise.llm.common import returning, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -164,7 +164,8 @@ class Encoder:
         scores = [model.scores[i] for i in known.values()]
         lowest = min(scores, default=0.0) - UNKNOWN_PENALTY
         self.score = [model.scores[i] if i >= 0 else lowest for i in self.id]
-        self.steps = [self._steps(p) for p in self.text] if model.kind == BPE else []
+        own = {p: p for p in self.text}
+        self.steps = [self._steps(p, own) for p in self.text] if model.kind == BPE else []
         self.automaton = ahocorasick.Automaton()
         for t, p in enumerate(self.text):
             # A piece that its own characters don't merge into is never a result.
@@ -203,17 +204,20 @@ class Encoder:
         bound = f"{SPACE}*(?:{w}*[{chars(tied)}]{m}+)+{w}*|" if tied else ""
         return f"{bound}{SPACE}*{w}+|{SPACE}*{m}+|{SPACE}+|{other}"
 
-    def _steps(self, piece: str) -> tuple[list[float], list[str], list[str]]:
-        """Ranks of the merges that make a piece, in order, and the symbols at its edges before each and at the end."""
-        parts, ranks, left, right = list(piece), [], [], []
+    def _steps(self, piece: str, own: dict[str, str]) -> tuple[tuple[float, ...], tuple[str, ...], tuple[str, ...]]:
+        """Ranks of the merges that make a piece, in order, and the symbols at its edges before each and at the end.
+
+        Symbols are the strings that ``own`` has for them, so that pieces share theirs.
+        """
+        parts, ranks, left, right = [own[c] for c in piece], [], [], []
         while True:
             left.append(parts[0])
             right.append(parts[-1])
             i, best = self._best(parts)
             ranks.append(best)
             if i < 0:
-                return ranks, left, right
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                return tuple(ranks), tuple(left), tuple(right)
+            parts[i : i + 2] = [own[parts[i] + parts[i + 1]]]
 
     def _best(self, parts: list[str]) -> tuple[int, float]:
         """The place and rank of the next merge, the leftmost of equals; -1 and infinity if there is none."""
@@ -331,7 +335,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(returning(run), f"{kinds}, ids array<int>, round_trip boolean")
 
 
 def slices(batch: pa.RecordBatch, text: int, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
@@ -358,7 +362,7 @@ def decode(rows: DataFrame, model: Model, ids: str = "ids", keep: tuple[str, ...
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(run, f"{kinds}, text string")
+    return chosen.mapInArrow(returning(run), f"{kinds}, text string")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import materialize, spread_join, table, text_key, without
+from cellwise.llm.common import materialize, returning, spread_join, table, text_key, without
 from cellwise.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, fp bigint")
+    return rows.mapInArrow(returning(run), f"doc_id {kind}, text_key binary, fp bigint")
 
 
 def _signed(mask: int) -> int:

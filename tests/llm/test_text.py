@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from cellwise.llm import html_text, langid, packing, pii, sentencepiece, wordpiece
+from cellwise.llm.common import returning
 from tests.llm.conftest import docs_of
 
 SAMPLES = {
@@ -100,6 +101,13 @@ def test_many_languages_are_learnt_up_to_a_bound(spark, monkeypatch):
     assert [r["lang"] for r in found.collect()] == ["l0", "l1", "l2"]
 
 
+def test_counts_by_language_start_no_python_workers(spark):
+    for rows, most in (([("en", 3), ("de", 5), ("fr", 4)], [("de", 5), ("fr", 4)]), ([], [])):
+        few = langid._few(spark.createDataFrame(rows, "lang string, n bigint"), 2)
+        assert "LocalTableScan" in few._jdf.queryExecution().executedPlan().toString()  # not a scan of a Python RDD
+        assert few.dtypes == [("lang", "string"), ("n", "bigint")] and few.collect() == most
+
+
 def test_unlabelled_rows_pass_the_stage(spark):
     """Without any label to learn from, only rows without a letter go."""
     rows = [(1, "hello there", None), (2, "12 34", None), (None, "ÜBER", None), (3, None, None), (4, "", None)]
@@ -488,6 +496,32 @@ def test_viterbi_equals_the_library():
         assert model.encoder.encode(text).tolist() == other.encode(text), text
 
 
+def test_steps_of_pieces_share_their_symbols():
+    encoder = sentencepiece.Model.load().encoder
+    pieces = {id(p) for p in encoder.text}
+    assert all(id(x) in pieces for _, left, right in encoder.steps for x in left + right)
+
+
+def test_workers_return_memory_after_a_task():
+    """What a task has freed doesn't stay with its worker, not even below blocks that are still in use."""
+
+    def run(batches):
+        for n in batches:
+            parts = [bytearray(20_000) for _ in range(n)]
+            kept.append(bytearray(20_000))
+            yield len(parts)
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    kept: list[bytearray] = []
+    assert list(returning(run)(iter([1]))) == [1]
+    before = held()
+    assert list(returning(run)(iter([5000]))) == [5000]
+    assert held() - before < 30_000_000
+
+
 def test_encoding_a_table(messy, empty):
     model = sentencepiece.Model.load()
     found = sentencepiece.encode(messy, model)
