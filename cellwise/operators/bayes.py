@@ -14,7 +14,7 @@ from cellwise.functions.numeric import gamma_p, mixture_quantile
 from cellwise.functions.special import Z975, digamma, ln_nbinom, normal_cdf, trigamma
 from cellwise.operators import prior
 from cellwise.operators.cells import Cells, scored
-from cellwise.operators.expected import MARGINS, POISSON, warn_if_dispersed, with_expected
+from cellwise.operators.expected import MARGINS, fitted
 from cellwise.operators.ordering import join_groups, running
 from cellwise.operators.result import Signals, check_options, first_signals, signal_counts
 from cellwise.sources.shared import small_table, staged
@@ -151,10 +151,7 @@ def bcpnn(
     if ranking_statistic not in ("p_value", "quantile"):
         raise ValueError("ranking_statistic must be 'p_value' or 'quantile'")
     groups, reference = container.groups, semantics == "reference"
-    rows = scored(container, min_events)
-    if expected_method == POISSON and not groups:
-        warn_if_dispersed(rows)
-    rows = with_expected(rows, expected_method, method_alpha, groups)
+    rows = fitted(scored(container, min_events), expected_method, method_alpha, groups)
     rows = _simulated(rows, relative_risk, int(num_MC), seed) if MC else _information_component(rows, relative_risk)
     rows = staged(rows.select(*groups, "ae_name", "product_name", "n11", "n1j", "ni1", "E", "post", "lower"))
     rows = with_error_rates(rows, groups, True, reference)
@@ -196,11 +193,8 @@ def gps(
         raise ValueError("ranking_statistic must be 'p_value', 'quantile' or 'log2'")
     groups, reference = container.groups, semantics == "reference"
     start = prior.START | (prior_init or {})
-    every = scored(container)
-    if expected_method == POISSON and not groups:
-        warn_if_dispersed(every)
     # The expected counts are those of all cells; rare ones go afterwards.
-    every = with_expected(every, expected_method, method_alpha, groups)
+    every = fitted(scored(container), expected_method, method_alpha, groups)
     if prior_param is not None:
         values = prior_param.values() if isinstance(prior_param, dict) else prior_param
         fits = {(): prior.Fit(tuple(float(v) for v in values), None, "given")}

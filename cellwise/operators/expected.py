@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions.numeric import t_quantile
 from cellwise.operators.cells import Cells, scored
-from cellwise.sources.shared import small_table
+from cellwise.sources.shared import small_table, staged
 
 MARGINS, NEGATIVE_BINOMIAL, POISSON = "mantel-haentzel", "negative-binomial", "poisson"
 STEPS, TOLERANCE = 100, 1e-8
@@ -93,12 +93,23 @@ def with_expected(rows: DataFrame, method: str = MARGINS, alpha: float = 1, grou
     return joined.withColumn("E", F.coalesce(fitted, margins)).drop("_c0", "_c1", "_c2")
 
 
+def fitted(rows: DataFrame, method: str = MARGINS, alpha: float = 1, groups: Sequence[str] = ()) -> DataFrame:
+    """``with_expected`` for cells still to be made from reports, with a warning where a Poisson regression is a poor choice.
+
+    A regression reads its cells at each step, so they are made once and staged; otherwise
+    every step would read, join and aggregate the reports again.
+    """
+    if method in (NEGATIVE_BINOMIAL, POISSON):
+        rows = staged(rows)
+    made = with_expected(rows, method, alpha, groups)
+    if method == POISSON and not groups:
+        warn_if_dispersed(made)
+    return made
+
+
 def calculate_expected(cells: Cells, method: str = MARGINS, alpha: float = 1, min_events: float = 1) -> DataFrame:
     """The scored cells with their expected count ``E``."""
-    rows = scored(cells, min_events)
-    if method == POISSON and not cells.groups:
-        warn_if_dispersed(rows)
-    return with_expected(rows, method, alpha, cells.groups)
+    return fitted(scored(cells, min_events), method, alpha, cells.groups)
 
 
 def dispersion_table(cells: Cells) -> DataFrame:
@@ -108,13 +119,15 @@ def dispersion_table(cells: Cells) -> DataFrame:
     bounds are those of Student's t with m - 1 degrees of freedom. Null where there
     are too few cells.
     """
-    return _dispersion(scored(cells), cells.groups)
+    rows = with_expected(scored(cells), POISSON, groups=cells.groups)
+    return _dispersion(rows, cells.groups)
 
 
 def _dispersion(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    fitted = with_expected(rows, POISSON, groups=groups).select(*groups, "n11", F.col("E").alias("mu"))
+    """The table from rows whose ``E`` is that of a Poisson regression."""
+    known = rows.select(*groups, "n11", F.col("E").alias("mu"))
     r = ((F.col("n11") - F.col("mu")) ** 2 - F.col("n11")) / F.col("mu")
-    sums = fitted.groupBy(*groups).agg(
+    sums = known.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("m"),
         F.sum((F.col("n11") - F.col("mu")) ** 2 / F.col("mu")).alias("chi"),
         F.sum(F.col("mu") * r).alias("mr"),
@@ -138,7 +151,7 @@ def _dispersion(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def test_dispersion(cells: Cells) -> dict[str, float]:
     """The row of ``dispersion_table`` as a dict; without groups."""
-    return _dispersion(scored(cells), ()).first().asDict()
+    return _dispersion(with_expected(scored(cells), POISSON), ()).first().asDict()
 
 
 test_dispersion.__test__ = False
@@ -151,10 +164,11 @@ def select_alpha(cells: Cells) -> float:
 
 
 def warn_if_dispersed(rows: DataFrame) -> None:
+    """Of rows whose ``E`` is that of a Poisson regression."""
     found = _dispersion(rows, ()).first()
     if found["dispersion"] is not None and found["dispersion"] > 2:
         warnings.warn(
             f"The counts are overdispersed ({found['dispersion']:.3g}); a negative binomial model with alpha "
             f"{found['alpha']:.3g} ({found['lb']:.3g} to {found['ub']:.3g}) may suit them better.",
-            stacklevel=3,
+            stacklevel=4,
         )

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from cellwise.functions.numeric import hypergeom_pmf, hypergeom_upper
 from cellwise.functions.special import Z975, upper_normal
 from cellwise.operators.cells import Cells, scored
-from cellwise.operators.expected import MARGINS, POISSON, warn_if_dispersed, with_expected
+from cellwise.operators.expected import MARGINS, fitted
 from cellwise.operators.lbe import with_rates
 from cellwise.operators.ordering import with_position, with_rank
 from cellwise.operators.result import Signals, check_options, first_signals, signal_counts
@@ -23,10 +23,7 @@ SMALL = 1e-7
 
 
 def _table(cells: Cells, min_events: float, method: str, alpha: float) -> DataFrame:
-    rows = scored(cells, min_events)
-    if method == POISSON and not cells.groups:
-        warn_if_dispersed(rows)
-    rows = with_expected(rows, method, alpha, cells.groups)
+    rows = fitted(scored(cells, min_events), method, alpha, cells.groups)
     rows = rows.withColumns({"n10": F.col("n1j") - F.col("n11"), "n01": F.col("ni1") - F.col("n11") + SMALL})
     return rows.withColumn("n00", F.col("N") - (F.col("n11") + F.col("n10") + F.col("n01")))
 

@@ -1,8 +1,38 @@
 """Counts, steps and plans as they are on tables larger than those of the other tests."""
 
+from pyspark.sql import functions as F
+
+from cellwise import convert
+from cellwise.operators import expected
 from cellwise.plans.rounding import rounded
+from tests.fixture_g1 import ROWS
+
+
+def reports(spark):
+    return spark.createDataFrame(ROWS, "name string, AE string, date string, count bigint").withColumn("date", F.to_timestamp("date"))
 
 
 def test_large_counts_stay_whole(spark):
     rows = spark.createDataFrame([(525120.0, 692880.0, 36e6, 0.1234565)], "`product margin` double, `event margin` double, Count double, p double")
     assert rounded(rows).first() == (525120.0, 692880.0, 36e6, 0.123457)
+
+
+def _plans_of_steps(monkeypatch, run):
+    """The plans of the cells that each regression of ``run`` reads."""
+    plans, steps = [], expected._irls
+
+    def watched(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return steps(rows, *rest)
+
+    monkeypatch.setattr(expected, "_irls", watched)
+    run()
+    return plans
+
+
+def test_steps_of_expected_counts_read_no_reports(spark, monkeypatch):
+    cells = convert(reports(spark))
+    methods = (expected.POISSON, expected.NEGATIVE_BINOMIAL)
+    plans = _plans_of_steps(monkeypatch, lambda: [expected.calculate_expected(cells, m).collect() for m in methods])
+    assert len(plans) == 2  # one each: the warning uses the fit of the counts
+    assert not [p for p in plans if "Aggregate" in p]
