@@ -119,7 +119,7 @@ def dispersion_table(cells: Cells) -> DataFrame:
     bounds are those of Student's t with m - 1 degrees of freedom. Null where there
     are too few cells.
     """
-    rows = with_expected(scored(cells), POISSON, groups=cells.groups)
+    rows = with_expected(staged(scored(cells)), POISSON, groups=cells.groups)
     return _dispersion(rows, cells.groups)
 
 
@@ -151,7 +151,7 @@ def _dispersion(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def test_dispersion(cells: Cells) -> dict[str, float]:
     """The row of ``dispersion_table`` as a dict; without groups."""
-    return _dispersion(with_expected(scored(cells), POISSON), ()).first().asDict()
+    return _dispersion(with_expected(staged(scored(cells)), POISSON), ()).first().asDict()
 
 
 test_dispersion.__test__ = False

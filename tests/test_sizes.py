@@ -36,3 +36,10 @@ def test_steps_of_expected_counts_read_no_reports(spark, monkeypatch):
     plans = _plans_of_steps(monkeypatch, lambda: [expected.calculate_expected(cells, m).collect() for m in methods])
     assert len(plans) == 2  # one each: the warning uses the fit of the counts
     assert not [p for p in plans if "Aggregate" in p]
+
+
+def test_steps_of_dispersion_read_no_reports(spark, monkeypatch):
+    cells = convert(reports(spark))
+    plans = _plans_of_steps(monkeypatch, lambda: (expected.dispersion_table(cells).collect(), expected.select_alpha(cells)))
+    assert len(plans) == 2
+    assert not [p for p in plans if "Aggregate" in p]
