@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.functions.numeric import gamma_p, mixture_quantile
-from cellwise.functions.special import Z975, digamma, ln_nbinom, normal_cdf, trigamma
+from cellwise.functions.numeric import digamma as digamma_of
+from cellwise.functions.numeric import gamma_p, mixture_quantile, normal_cdf, trigamma
+from cellwise.functions.special import Z975, digamma, ln_nbinom
 from cellwise.operators import prior
 from cellwise.operators.cells import Cells, scored
 from cellwise.operators.expected import MARGINS, fitted
@@ -81,16 +82,27 @@ def _columns(groups: Sequence[str], statistic: str, name: str, more: dict[str, s
 
 
 def _information_component(rows: DataFrame, relative_risk: float) -> DataFrame:
-    """``post`` and ``lower`` in closed form."""
-    n11, n1j, ni1, n = (F.col(c) for c in ("n11", "n1j", "ni1", "N"))
-    rows = rows.withColumns({"p1": 1 + n1j, "q1": 1 + ni1, "r1": 1 + n11, "pq": 2 + n})
-    r2 = n - n11 - 1 + (2 + n) * (2 + n) / (F.col("q1") * F.col("p1"))
-    rows = rows.withColumn("rr", F.col("r1") + r2)
-    mean = digamma("r1") - digamma("rr") - (digamma("p1") + digamma("q1") - 2 * digamma("pq"))
-    spread = trigamma("r1") - trigamma("rr") + trigamma("p1") + trigamma("q1") - 2 * trigamma("pq")
-    rows = rows.withColumns({"ic": mean / LN2, "sd": F.sqrt(F.greatest(spread, F.lit(0.0))) / LN2})
-    rows = rows.withColumn("z", F.try_divide(math.log(relative_risk) - F.col("ic"), F.col("sd")))
-    return rows.withColumns({"post": normal_cdf("z"), "lower": F.col("ic") - Z975 * F.col("sd")})
+    """``post`` and ``lower`` in closed form.
+
+    On arrays: as columns the functions become methods too long for the JVM to compile, and are interpreted.
+    """
+    threshold = math.log(relative_risk)
+
+    @F.pandas_udf("struct<post:double,lower:double>")
+    def component(n11: pd.Series, n1j: pd.Series, ni1: pd.Series, n: pd.Series) -> pd.DataFrame:
+        p1, q1, r1, pq = (1 + n1j).to_numpy(), (1 + ni1).to_numpy(), (1 + n11).to_numpy(), (2 + n).to_numpy()
+        with np.errstate(all="ignore"):
+            rr = r1 + (n.to_numpy() - n11.to_numpy() - 1 + pq * pq / (q1 * p1))
+            known = np.minimum.reduce([p1, q1, r1, rr, pq]) > 0
+            ic = (digamma_of(r1) - digamma_of(rr) - (digamma_of(p1) + digamma_of(q1) - 2 * digamma_of(pq))) / LN2
+            spread = trigamma(r1) - trigamma(rr) + trigamma(p1) + trigamma(q1) - 2 * trigamma(pq)
+            sd = np.sqrt(np.maximum(spread, 0.0)) / LN2
+            z = np.where(known & (sd > 0), (threshold - ic) / sd, np.nan)
+            # NaN becomes null.
+            return pd.DataFrame({"post": normal_cdf(z), "lower": np.where(known, ic - Z975 * sd, np.nan)})
+
+    made = rows.withColumn("_s", component("n11", "n1j", "ni1", "N"))
+    return made.withColumns({"post": F.col("_s.post"), "lower": F.col("_s.lower")}).drop("_s")
 
 
 def _simulated(rows: DataFrame, relative_risk: float, draws: int, seed: int) -> DataFrame:

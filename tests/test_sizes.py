@@ -1,9 +1,14 @@
 """Counts, steps and plans as they are on tables larger than those of the other tests."""
 
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cellwise import convert
-from cellwise.operators import expected
+from cellwise.functions.numeric import normal_cdf
+from cellwise.operators import bayes, expected
 from cellwise.plans.rounding import rounded
 from tests.fixture_g1 import ROWS
 
@@ -43,3 +48,27 @@ def test_steps_of_dispersion_read_no_reports(spark, monkeypatch):
     plans = _plans_of_steps(monkeypatch, lambda: (expected.dispersion_table(cells).collect(), expected.select_alpha(cells)))
     assert len(plans) == 2
     assert not [p for p in plans if "Aggregate" in p]
+
+
+def _longest_method(df):
+    """The most bytes of a generated method: the JVM compiles none above 8,000 and interprets it."""
+    debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    found = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max([found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())], default=0)
+
+
+def test_scores_are_compiled(spark):
+    rows = spark.range(1, 9).selectExpr("double(id) n11", "double(id * 3) n1j", "double(id * 4) ni1", "900D N")
+    scored = bayes._information_component(rows, 1)
+    assert 0 < _longest_method(scored) < 8000
+
+
+def test_normal_distribution_on_arrays():
+    z = np.array([-30.0, -9.0, -3.5, -2.9, -1.0, 0.0, 0.5, 2.9, 4.0, 40.0])
+    assert normal_cdf(z) == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], rel=1e-12)
+    assert np.isnan(normal_cdf(np.array([np.nan]))).all()
+
+
+def test_rounding_is_half_away_from_zero(spark):
+    rows = spark.createDataFrame([(0.1234565, -0.1234565, 2.5e-7, 123456789.1234565, -1e-9)], "a double, b double, c double, d double, e double")
+    assert rounded(rows).first() == (0.123457, -0.123457, 0.0, 123456789.12358, 0.0)
